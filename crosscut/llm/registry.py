@@ -1,9 +1,12 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import line_dedup, mixing, quality_rules
+from . import lexicon, line_dedup, mixing, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op6_bpe_lexicon": lexicon.op6_bpe_lexicon,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }

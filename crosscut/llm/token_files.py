@@ -77,13 +77,14 @@ class ChunkEncoder:
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.added) if self.added else "\0"
         self.chunks, self.pieces = Memo(chunks), Memo(pieces)
 
     def _cut(self, chunk: bytes) -> list[str] | None:
         if chunk.isalpha():
             return [chunk.decode().lower()]
         text = chunk.decode()
-        if not self.PLAIN.fullmatch(text) or any(a in text for a in self.added):
+        if not self.PLAIN.fullmatch(text) or self.mark in text and any(a in text for a in self.added):
             return None
         text = text.lower()
         if text.isalpha():
