@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, settle, word_count
+from .common import MAX_LONG, WS, WS_RE, documents, let, settle, sql_string, word_count
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
@@ -169,5 +169,27 @@ class Mix:
         return rows.join(src, F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "source", "t", "copy", "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: for every pass up to the repeats allowed, what the mix reads of each document at least that
+    often, with the columns of docs (n_chars, where there is one, is the new text's length).
+
+    A text read whole is kept as it is; of others the words read are joined by blanks. Of rows that share doc_id, source
+    and text one row's other columns stand for all."""
+    text, missing = F.coalesce("text", F.lit("")), F.lit(MAX_LONG)
+    key = {"__mx_id": F.coalesce("doc_id", missing), "__mx_no_source": F.col("source").isNull(), "__mx_source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
+    read = mix(docs, **options).stretches.filter("times > 0").withColumns(key)
+    read = read.groupBy(*key, F.col("t").alias("__mx_t"), "copy", "size").agg(F.array_sort(F.collect_list(F.struct("first", "upto", "times"))).alias("__mx_read"), F.max("times").alias("most"))
+    read = read.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most")))).withColumn("__mx_read", F.expr("filter(__mx_read, x -> x.times >= pass)"))
+    read = read.withColumn("__mx_whole", F.expr("aggregate(__mx_read, 0L, (a, x) -> a + x.upto - x.first)") == F.col("size")).drop("copy", "most", "pass", "size")
+    keys = [*key, "__mx_t"]
+    own = docs.withColumns(key | {"__mx_t": F.xxhash64(text)}).dropDuplicates(keys)
+    words = f"split(btrim(text, {sql_string(WS)}), {sql_string(WS_RE)}, -1)"
+    part = F.expr(let(words, "w", "array_join(flatten(transform(__mx_read, x -> slice(w, CAST(x.first AS INT) + 1, CAST(x.upto - x.first AS INT)))), ' ')"))
+    out = own.join(read, keys).withColumn("text", F.when(F.col("__mx_whole"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).taken.select("doc_id", "size", "source_size", "target", "taken")
