@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,8 +128,6 @@ def put_file(uri: str, name: str, parts: list) -> None:
 
 def mapped_file(uri: str, name: str, dtype: str):
     """uri/name as a read-only memory map; from a remote store it is copied to a temporary file first."""
-    import numpy as np
-
     if (base := local_path(uri)) is not None:
         path = f"{base}/{name}"
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
@@ -158,7 +158,18 @@ def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[in
         yield start, texts
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text") -> DataFrame:
+def arrow_slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """column cut between rows at about `limit` bytes; a longer text comes alone and whole."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit, side="right"))
+        end = max(end, start + 1)
+        yield column.slice(start, end - start)
+        start = end
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
     """`keep` columns of df beside what the kernel returns for its texts. make() builds the kernel once in each worker
     task; fields is its schema as DDL. Rows stream in Arrow batches; memory is bounded by a slice (or one text)."""
     spark = df.sparkSession
@@ -175,7 +186,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
         kernel = make()
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, texts in text_slices(column):
+            for start, texts in text_slices(column, limit):
                 got = kernel(texts)
                 arrays = [batch.column(i).slice(start, len(texts)) for i in range(batch.num_columns - 1)]
                 arrays += [pa.array(got[n], type=out.field(n).type) for n in names]

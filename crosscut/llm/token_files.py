@@ -23,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mapped_file, put_file, settle, shared_path, text_slices
+from .common import WS, arrow_slices, documents, mapped_file, put_file, settle, shared_path
 
 NO_ID = -(1 << 63)
 #: Distinct chunks, and distinct pieces, that a worker keeps with their ids.
-MEMO = 400_000
+MEMO_CHUNKS, MEMO_PIECES = 500_000, 800_000
+#: Bytes encoded at once; more at once means fewer distinct chunks to look at.
+SLICE_BYTES = 6_000_000
 
 
 class Memo(dict):
@@ -64,7 +67,7 @@ class ChunkEncoder:
     #: Below the first combining character composition changes nothing.
     PLAIN = regex.compile(r"[\x00-\u012f\u0131-\u024f]*")
 
-    def __init__(self, path: str, chunks: int = MEMO, pieces: int = MEMO):
+    def __init__(self, path: str, chunks: int = MEMO_CHUNKS, pieces: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
@@ -81,9 +84,9 @@ class ChunkEncoder:
         self.chunks, self.pieces = Memo(chunks), Memo(pieces)
 
     def _cut(self, chunk: bytes) -> list[str] | None:
-        if chunk.isalpha():
-            return [chunk.decode().lower()]
         text = chunk.decode()
+        if chunk.isalpha():
+            return [text.lower()]
         if not self.PLAIN.fullmatch(text) or self.mark in text and any(a in text for a in self.added):
             return None
         text = text.lower()
@@ -106,17 +109,42 @@ class ChunkEncoder:
             out += [data[a * w : b * w] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-        new = list(set(itertools.chain.from_iterable(chunked)).difference(self.chunks))
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        new = [c for c in chunks if c not in self.chunks]
         cut = [self._cut(c) for c in new]
         pieces = list(set(itertools.chain.from_iterable(filter(None, cut))).difference(self.pieces))
         self.pieces.refill(pieces, self._encode(pieces))
         whole = [c.decode() for c, p in zip(new, cut) if p is None]
         rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else None
         piece = self.pieces.__getitem__
-        self.chunks.refill(new, [np.array(next(rest).ids, self.dtype).tobytes() if p is None else b"".join(map(piece, p)) for p in cut])
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in chunked]
+        self.chunks.refill(new, [np.array(next(rest).ids, self.dtype).tobytes() if p is None else piece(p[0]) if len(p) == 1 else b"".join(map(piece, p)) for p in cut])
+        return list(map(self.chunks.__getitem__, chunks))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, their number per text); null counts as empty.
+
+        Texts are cut, and their chunks numbered, by Arrow's kernels; only distinct chunks become Python objects."""
+        texts = pc.fill_null(texts, "")
+        # lower-casing ASCII letters, and cutting at ASCII white space, commute with what the normaliser does
+        texts = pc.if_else(pc.match_substring(texts, self.mark), texts, pc.ascii_lower(texts))
+        for c in WS[1:]:  # all white space as blanks; empty chunks between them have no ids
+            if pc.any(pc.match_substring(texts, c)).as_py():
+                texts = pc.replace_substring(texts, c, " ")
+        # a sign that ends a chunk after a letter is a piece of its own: fewer distinct chunks
+        texts = pc.replace_substring_regex(texts, r"([a-z])([.,;:?!])( |$)", r"\1 \2\3")
+        words = pc.split_pattern(texts, " ")
+        flat = words.flatten().dictionary_encode()
+        values = self._ids(flat.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        table = np.frombuffer(b"".join(values), self.dtype)
+        word = flat.indices.to_numpy()
+        n = sizes[word]
+        upto = np.cumsum(n)
+        ids = table[np.repeat(starts[word] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate([[0], upto])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return ids, np.diff(cuts)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -145,19 +173,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, partition
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = chunk_encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.dtype).tobytes()
-        ids, lengths, names = [], [], []
+        blocks, lengths, names = [], [], []
         for batch in batches:
             names.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            for _, texts in text_slices(batch.column(1)):
-                for x in encoder(texts):
-                    ids += (x, end)
-                    lengths.append(len(x) // encoder.dtype.itemsize + 1)
+            for texts in arrow_slices(batch.column(1), SLICE_BYTES):
+                ids, n = encoder(texts)
+                blocks.append(np.insert(ids, np.cumsum(n), encoder.dtype.type(end_id)))
+                lengths.append(n + 1)
         if not lengths:
             return
+        lengths = np.concatenate(lengths)
         offsets = np.zeros(len(lengths) + 1, "<i8")
         np.cumsum(lengths, out=offsets[1:])
-        for kind, parts in (("ids", ids), ("off", [offsets]), ("doc", names)):
+        for kind, parts in (("ids", blocks), ("off", [offsets]), ("doc", names)):
             put_file(path, f"{part:05d}.{kind}", parts)
         yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "width": [encoder.dtype.itemsize]})
 
