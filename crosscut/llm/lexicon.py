@@ -18,16 +18,18 @@ import hashlib
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Bpe
-from .common import documents, map_texts, mapped_file, put_file, shared_path
+from .common import documents, map_texts, mapped_file, put_file, settle, shared_path
 from .token_files import tokenizer_path
 
 #: Words in the lexicon, and how often a word must occur to be one of them.
 LEXICON_WORDS = 65_536
 MIN_COUNT = 16
+#: Characters encoded at once; more at once means fewer distinct pre-tokens to look up and merge.
+SLICE_CHARS = 5_000_000
 
 
 class Transducer:
@@ -148,8 +150,12 @@ def frequent_words(docs: DataFrame, *, text: str = "text", words: int = LEXICON_
     """The most frequent words of all texts: at most `words` strings, so the driver may hold them."""
     split = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D.,;:?!|]+", -1)
     counts = docs.select(F.explode(split).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.select("word").collect()]
+    counts = settle(counts.filter(F.col("n") >= min_count), "words")
+    # the smallest count whose words, with all more frequent ones, still fit
+    histogram = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = histogram.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("upto"))
+    least = upto.filter(F.col("upto") <= words).agg(F.min("n")).first()[0]
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
@@ -218,7 +224,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: b
 
         return kernel
 
-    return map_texts(docs, make, ", ".join(fields), [c for c in docs.columns if c not in names], text)
+    return map_texts(docs, make, ", ".join(fields), [c for c in docs.columns if c not in names], text, SLICE_CHARS)
 
 
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
