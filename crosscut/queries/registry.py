@@ -148,7 +148,7 @@ ELIGIBLE = """elig AS (SELECT symbol, count(*) AS rows, arg_max(close, ts) AS la
 ), reasons AS (SELECT *, CASE WHEN rows < 530 THEN 'insufficient_history' ELSE concat_ws('|', CASE WHEN latest_close < 20000 THEN 'price_below_minimum' END, CASE WHEN median_dollar_volume < 1000000 THEN 'insufficient_dollar_volume' END) END AS reasons FROM elig)"""
 
 
-@register("eligibility", f"{sql.SPARSE}, {ELIGIBLE}", "SELECT *, reasons = '' AS eligible FROM reasons", **columns("symbol", "rows", "reasons", "eligible", latest_close=2, median_dollar_volume=1))
+@register("eligibility", f"{sql.SPARSE}, {ELIGIBLE}", "SELECT *, reasons = '' AS eligible FROM reasons", **columns("symbol", "rows", "reasons", "eligible", latest_close=2, median_dollar_volume=4))
 def _(spark, sf):
     return normalize.eligibility(tables.sparse_bars(spark, sf), **POLICY).withColumn("reasons", F.array_join("reasons", "|"))
 
@@ -241,8 +241,8 @@ CORE_QUERIES = {
     "volatility": columns("volatility_20d", "volatility_60d", digits=4),
     "downside_volatility": columns("downside_volatility_20d", "downside_volatility_60d", digits=4),
     "drawdown": columns("current_drawdown_60d", digits=5),
-    "atr": columns("atr_14", digits=1, atr_pct_14=4),
-    "median_dollar_volume": columns("median_dollar_volume_20d", digits=1),
+    "atr": columns("atr_14", digits=3, atr_pct_14=4),
+    "median_dollar_volume": columns("median_dollar_volume_20d", digits=4),
     "relative_volume": columns("relative_volume_20d", digits=4),
 }
 for _name, _digits in CORE_QUERIES.items():
@@ -256,7 +256,7 @@ RELATIVE_QUERIES = {
 for _name, _digits in RELATIVE_QUERIES.items():
     register(_name, sql.features(), "SELECT *, CAST(ts AS DATE) AS session_date FROM features", **columns(*KEYS), **_digits)(lambda spark, sf: by_session(features(spark, sf)))
 
-FRAME = columns("sector") | {f: 1 if f in ("atr_14", "median_dollar_volume_20d") or f in [f"ema_{n}" for n in config.EMA_SPANS] else 3 for f in config.FEATURES}
+FRAME = columns("sector") | {f: {"median_dollar_volume_20d": 4}.get(f, 3) if f in ("atr_14", "median_dollar_volume_20d") else 1 if f in [f"ema_{n}" for n in config.EMA_SPANS] else 3 for f in config.FEATURES}
 register("latest_snapshot", sql.features(), "SELECT *, CAST(ts AS DATE) AS session_date FROM features QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1", **columns(*KEYS), **FRAME)(
     lambda spark, sf: by_session(feature_plans.latest_rows(features(spark, sf)))
 )
@@ -304,7 +304,8 @@ def _(spark, sf):
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return panel_plans.scoring_panel(features(spark, sf))
+    """Group scores are rounded, so that ties don't hang on the last bit of either engine."""
+    return panel_plans.scoring_panel(features(spark, sf)).withColumns({f"group_{g}": F.round(f"group_{g}", 9) for g in config.GROUPS})
 
 
 GROUP_COLUMNS = [f"group_{g}" for g in config.GROUPS]
@@ -417,8 +418,12 @@ register("baseline_summary", BASE, """SELECT model, count(DISTINCT fold) AS fold
 DIAGNOSIS = columns("dates") | columns("mean_rank_ic", "median_rank_ic", "std_rank_ic", "information_ratio", "positive_ic_rate", "mean_spread", "positive_spread_rate", "mean_turnover", digits=5)
 
 
+def diagnose(df: DataFrame, signals: list[str]) -> DataFrame:
+    return research.diagnose(df.withColumns({s: F.round(s, 9) for s in signals}), signals)
+
+
 def unpivoted(source: str, signals) -> str:
-    return "long AS (" + " UNION ALL ".join(f"SELECT session_date, symbol, '{s}' AS signal, CAST({h} AS INTEGER) AS horizon, {s} AS value, forward_return_{h}d AS label FROM {source}" for s in signals for h in config.HORIZONS) + ")"
+    return "long AS (" + " UNION ALL ".join(f"SELECT session_date, symbol, '{s}' AS signal, CAST({h} AS INTEGER) AS horizon, round({s}, 9) AS value, forward_return_{h}d AS label FROM {source}" for s in signals for h in config.HORIZONS) + ")"
 
 
 def diagnosis(with_: str, source: str, signals) -> str:
@@ -427,7 +432,7 @@ def diagnosis(with_: str, source: str, signals) -> str:
 
 SIGNALS = [*GROUP_COLUMNS, *[f"z_{f}" for f in config.SCORING_FEATURES]]
 register("signal_diagnostics", diagnosis(sql.panel(), "panel", SIGNALS), f"SELECT signal, horizon, {sql.DIAGNOSIS} FROM daily GROUP BY signal, horizon", **columns("signal", "horizon"), **DIAGNOSIS)(
-    lambda spark, sf: research.diagnose(crosssection.winsor_z(panel(spark, sf), config.SCORING_FEATURES), SIGNALS)
+    lambda spark, sf: diagnose(crosssection.winsor_z(panel(spark, sf), config.SCORING_FEATURES), SIGNALS)
 )
 
 
@@ -450,7 +455,7 @@ EX = [f"momentum_{n}d_ex_20d" for n in (252, 126)]
 MOMENTUM = f"{sql.panel()}, m0 AS (SELECT *, {', '.join(f'(1 + return_{n}d) / nullif(1 + return_20d, 0) - 1 AS momentum_{n}d_ex_20d' for n in (252, 126))} FROM panel), {sql.z_scores('m0', 'm', EX, 'session_date')}"
 MOMENTUM_SIGNALS = ["z_return_252d", "z_return_126d", *[f"z_{e}" for e in EX]]
 register("momentum_ex20", diagnosis(MOMENTUM, "m", MOMENTUM_SIGNALS), f"SELECT signal, horizon, {sql.DIAGNOSIS} FROM daily GROUP BY signal, horizon", **columns("signal", "horizon"), **DIAGNOSIS)(
-    lambda spark, sf: research.diagnose(research.momentum_signals(crosssection.winsor_z(panel(spark, sf), ["return_252d", "return_126d"])), MOMENTUM_SIGNALS)
+    lambda spark, sf: diagnose(research.momentum_signals(crosssection.winsor_z(panel(spark, sf), ["return_252d", "return_126d"])), MOMENTUM_SIGNALS)
 )
 
 PCT = lambda x: f"CASE WHEN {x} IS NOT NULL THEN ({sql.rank_of(x, 'session_date')}) / CAST(count({x}) OVER (PARTITION BY session_date) AS DOUBLE) END"
@@ -464,16 +469,16 @@ def compact(spark: SparkSession, sf: str) -> DataFrame:
 
 register("compact_alpha", COMPACT, "SELECT * FROM compact", **columns(*KEYS, compact_alpha=5))(compact)
 register("compact_candidates", diagnosis(COMPACT, "compact", ["compact_alpha"]), f"SELECT signal, horizon, {sql.DIAGNOSIS} FROM daily GROUP BY signal, horizon", **columns("signal", "horizon"), **DIAGNOSIS)(
-    lambda spark, sf: research.diagnose(compact(spark, sf), ["compact_alpha"])
+    lambda spark, sf: diagnose(compact(spark, sf), ["compact_alpha"])
 )
-COMPACT_FOLDS = f"""{sql.walk_forward(2)}, {COMPACT.removeprefix(sql.panel() + ', ')}, in_folds AS (SELECT fold, horizon, session_date, symbol, value, label FROM ({' UNION ALL '.join(f'SELECT session_date, symbol, CAST({h} AS INTEGER) AS horizon, compact_alpha AS value, forward_return_{h}d AS label FROM compact' for h in config.HORIZONS)}) JOIN best ON session_date BETWEEN test_start AND test_end),
+COMPACT_FOLDS = f"""{sql.walk_forward(2)}, {COMPACT.removeprefix(sql.panel() + ', ')}, in_folds AS (SELECT fold, horizon, session_date, symbol, value, label FROM ({' UNION ALL '.join(f'SELECT session_date, symbol, CAST({h} AS INTEGER) AS horizon, round(compact_alpha, 9) AS value, forward_return_{h}d AS label FROM compact' for h in config.HORIZONS)}) JOIN best ON session_date BETWEEN test_start AND test_end),
 {sql.signal_daily('in_folds', 'fold_daily', 'value', 'label', 'fold, horizon')}"""
 
 
 @register("compact_by_fold", COMPACT_FOLDS, f"SELECT fold, horizon, {sql.SUMMARY} FROM fold_daily GROUP BY fold, horizon", **columns("fold", "horizon"), **SUMMARY_COLUMNS)
 def _(spark, sf):
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"forward_return_{h}d").alias("label")) for h in config.HORIZONS]))
-    long = compact(spark, sf).select("session_date", "symbol", F.col("compact_alpha").alias("value"), pairs.alias("e")).select("session_date", "symbol", "value", "e.*")
+    long = compact(spark, sf).select("session_date", "symbol", F.round("compact_alpha", 9).alias("value"), pairs.alias("e")).select("session_date", "symbol", "value", "e.*")
     folds = walk(spark, sf).select("fold", "test_start", "test_end")
     rows = long.join(F.broadcast(folds), F.col("session_date").between(F.col("test_start"), F.col("test_end")))  # a row a fold
     return crosssection.metric_summary(crosssection.signal_metrics(rows, "value", "label", keys=("fold", "horizon")), "fold", "horizon")

@@ -94,7 +94,7 @@ def weekly() -> str:
 
 
 def panel() -> str:
-    groups = ", ".join(f"({' + '.join(f'z_{f}' for f in fs)}) / {len(fs)} AS group_{g}" for g, fs in config.GROUPS.items())
+    groups = ", ".join(f"round(({' + '.join(f'z_{f}' for f in fs)}) / {len(fs)}, 9) AS group_{g}" for g, fs in config.GROUPS.items())
     return f"""{weekly()}, p0 AS (SELECT * FROM weekly QUALIFY count(*) OVER (PARTITION BY session_date) >= {config.MIN_CROSS_SECTION}),
 {z_scores('p0', 'p1', config.SCORING_FEATURES, 'session_date')}, panel AS (SELECT *, {groups}, {MISSING} = 0 AS scoring_complete FROM p1)"""
 
@@ -155,5 +155,5 @@ def walk_forward(units: int) -> str:
   QUALIFY row_number() OVER (PARTITION BY fold ORDER BY objective DESC NULLS LAST, mean_rank_ic DESC NULLS LAST, mean_spread DESC NULLS LAST, candidate_id) = 1
 ), test_daily AS (SELECT b.fold, d.rank_ic, d.top_bottom_spread, CASE WHEN d.session_date > min(d.session_date) OVER (PARTITION BY b.fold) THEN d.turnover END AS turnover
   FROM daily d JOIN best b ON d.candidate_id = b.candidate_id AND d.session_date BETWEEN b.test_start AND b.test_end
-), tested AS (SELECT fold, {', '.join(part.strip() for part in SUMMARY.replace(' AS ', ' AS test_').split(chr(10)))} FROM test_daily GROUP BY fold
+), tested AS (SELECT fold, {SUMMARY.replace(' AS ', ' AS test_')} FROM test_daily GROUP BY fold
 ), walk AS (SELECT * FROM best JOIN tested USING (fold) JOIN candidates USING (candidate_id))"""
