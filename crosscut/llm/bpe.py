@@ -10,6 +10,8 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The pre-tokens of this family of tokenizers (a fixed public pattern), and a coarser cut at the same boundaries:
@@ -19,6 +21,13 @@ CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 #: Up to here (the end of Latin Extended-B) all Unicode versions agree on letters and numbers.
 LATIN_END = "\u0250"
+#: Stands before a chunk that has no blank before it.
+GLUE = "\x01"
+_SPACE = r"[ \t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts where cutting at every blank would not give chunks: a blank beside white space, or the mark itself.
+UNEVEN = rf" {_SPACE}|{_SPACE} |\x01"
+#: A sign that ends a chunk after a letter is a pre-token of its own.
+END_SIGN = r"([A-Za-z])([.,;:?!])( |$)"
 NEVER = np.int32(2**31 - 1)
 EMPTY = np.uint32(2**32 - 1)
 
@@ -151,6 +160,8 @@ class Bpe:
 
     def pieces(self, chunk: str) -> list[str]:
         """A chunk's pre-tokens."""
+        if not chunk:
+            return []
         if chunk.isascii() or max(chunk) < LATIN_END:
             body = chunk[1:] if chunk[0] == " " else chunk
             if body.isalpha():
@@ -164,3 +175,30 @@ class Bpe:
 
             self.cutter = pre_tokenizers.Split(Regex(PATTERN.pattern), "isolated")
         return [p for p, _ in self.cutter.pre_tokenize_str(chunk)]
+
+    def numbered(self, texts: pa.Array) -> tuple[list[str | int], np.ndarray, np.ndarray]:
+        """(distinct chunks, the numbers of all texts' chunks in order, the texts' offsets among them).
+
+        Most texts are cut and numbered by Arrow's kernels, so that only distinct chunks become Python objects; those
+        with uneven white space or strings of added tokens by the regular expression."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNEVEN)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        even = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        even = pc.replace_substring_regex(pc.binary_join_element_wise(GLUE, even, ""), END_SIGN, r"\1 " + GLUE + r"\2\3")
+        words = pc.split_pattern(even, " ")
+        flat = words.flatten().dictionary_encode()
+        chunks: list[str | int] = [w[1:] if w[:1] == GLUE else " " + w for w in flat.dictionary.to_pylist()]
+        number, offsets = flat.indices.to_numpy().astype(np.int64), (words.offsets.to_numpy() - words.offsets[0].as_py()).astype(np.int64)
+        if odd.any():
+            at = np.flatnonzero(odd)
+            known: dict[str | int, int] = {}
+            own = [[known.setdefault(c, len(known)) for c in x] for x in self.chunked(texts.take(pa.array(at)).to_pylist())]
+            parts = np.split(number, offsets[1:-1])
+            for i, x in zip(at.tolist(), own):
+                parts[i] = np.array(x, np.int64) + len(chunks)
+            chunks += known
+            number, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return chunks, number, offsets

@@ -169,8 +169,15 @@ def arrow_slices(column: pa.Array, limit: int) -> Iterator[pa.Array]:
         start = end
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
-    """`keep` columns of df beside what the kernel returns for its texts. make() builds the kernel once in each worker
+def numbered_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    start = 0
+    for part in arrow_slices(column, limit):
+        yield start, part
+        start += len(part)
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", limit: int = SLICE_CHARS, arrow: bool = False) -> DataFrame:
+    """`keep` columns of df beside what the kernel returns for its texts, a list of strings or (arrow) an Arrow array. make() builds the kernel once in each worker
     task; fields is its schema as DDL. Rows stream in Arrow batches; memory is bounded by a slice (or one text)."""
     spark = df.sparkSession
     added = spark.createDataFrame([], fields).schema
@@ -186,7 +193,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
         kernel = make()
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            for start, texts in text_slices(column, limit):
+            for start, texts in numbered_slices(column, limit) if arrow else text_slices(column, limit):
                 got = kernel(texts)
                 arrays = [batch.column(i).slice(start, len(texts)) for i in range(batch.num_columns - 1)]
                 arrays += [pa.array(got[n], type=out.field(n).type) for n in names]

@@ -18,6 +18,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ from .token_files import tokenizer_path
 #: Words in the lexicon, and how often a word must occur to be one of them.
 LEXICON_WORDS = 65_536
 MIN_COUNT = 16
-#: Characters encoded at once; more at once means fewer distinct pre-tokens to look up and merge.
-SLICE_CHARS = 5_000_000
+#: Bytes encoded at once; more at once means fewer distinct pre-tokens to look up and merge.
+SLICE_BYTES = 6_000_000
 
 
 class Transducer:
@@ -174,12 +175,22 @@ class Codec:
     def __init__(self, tokenizer: str, lexicon: str):
         self.bpe, self.lexicon = Bpe(tokenizer), Transducer.open(lexicon)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunked = self.bpe.chunked(texts)
-        chunks = set(itertools.chain.from_iterable(chunked)).difference(self.bpe.added.values())
-        cut = {c: self.bpe.pieces(c) for c in chunks}
-        pieces = list(set(itertools.chain.from_iterable(cut.values())))
+        chunks, word, offsets = self.bpe.numbered(texts)
+        values = self._ids(chunks)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4")
+        n = sizes[word]
+        upto = np.cumsum(n)
+        ids = table[np.repeat(starts[word] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.concatenate([[0], upto])[offsets].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+
+    def _ids(self, chunks: list[str | int]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        cut = [[] if isinstance(c, int) else self.bpe.pieces(c) for c in chunks]
+        pieces = list(set(itertools.chain.from_iterable(cut)))
         raw = [p.encode() for p in pieces]
         number = self.lexicon.find(raw)
         ids = {}
@@ -192,9 +203,8 @@ class Codec:
         data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
         for i, a, b in zip(unseen, [0, *ends[:-1]] if ends else [], ends):
             ids[pieces[i]] = data[a:b]
-        of = {c: b"".join(map(ids.__getitem__, p)) for c, p in cut.items()}
-        of |= {i: i.to_bytes(4, "little") for i in self.bpe.added.values()}
-        return [b"".join(map(of.__getitem__, c)) for c in chunked]
+        of = ids.__getitem__
+        return [c.to_bytes(4, "little") if isinstance(c, int) else of(p[0]) if len(p) == 1 else b"".join(map(of, p)) for c, p in zip(chunks, cut)]
 
     def decode(self, ids: bytes) -> str:
         token = self.bpe.token_bytes
@@ -213,7 +223,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: b
     def make():
         codec = Codec(tokenizer, lexicon)
 
-        def kernel(texts: list[str]) -> dict:
+        def kernel(texts: pa.Array) -> dict:
             out: dict[str, list] = {n: [] for n in names}
             for x in codec.encode(texts):
                 back = codec.decode(x)
@@ -224,7 +234,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: b
 
         return kernel
 
-    return map_texts(docs, make, ", ".join(fields), [c for c in docs.columns if c not in names], text, SLICE_CHARS)
+    return map_texts(docs, make, ", ".join(fields), [c for c in docs.columns if c not in names], text, SLICE_BYTES, arrow=True)
 
 
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

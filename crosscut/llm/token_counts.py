@@ -14,6 +14,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import documents, map_texts
 from .token_files import tokenizer_path
 
 LIMIT = 512
+#: Bytes counted at once; more at once means fewer distinct pre-tokens to merge.
+SLICE_BYTES = 6_000_000
 
 
 class Counter:
@@ -30,15 +33,14 @@ class Counter:
     def __init__(self, path: str):
         self.bpe = Bpe(path)
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        chunked = self.bpe.chunked(texts)
-        chunks = set(itertools.chain.from_iterable(chunked)).difference(self.bpe.added.values())
-        cut = {c: self.bpe.pieces(c) for c in chunks}
-        pieces = list(set(itertools.chain.from_iterable(cut.values())))
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        chunks, word, offsets = self.bpe.numbered(texts)
+        cut = [[] if isinstance(c, int) else self.bpe.pieces(c) for c in chunks]
+        pieces = list(set(itertools.chain.from_iterable(cut)))
         _, n = self.bpe.merge([p.encode() for p in pieces])
-        count = dict(zip(pieces, n.tolist()))
-        of = {c: sum(map(count.__getitem__, p)) for c, p in cut.items()} | dict.fromkeys(self.bpe.added.values(), 1)
-        return [sum(map(of.__getitem__, c)) for c in chunked]
+        count = dict(zip(pieces, n.tolist())).__getitem__
+        each = np.array([1 if isinstance(c, int) else sum(map(count, p)) for c, p in zip(chunks, cut)], np.int64)
+        return np.diff(np.concatenate([[0], np.cumsum(each[word])])[offsets])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -47,9 +49,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", limit:
 
     def make():
         counter = Counter(tokenizer)
-        return lambda texts: {"n_tokens": np.array(counter(texts), np.int64)}
+        return lambda texts: {"n_tokens": counter(texts)}
 
-    counted = map_texts(docs.withColumn("n_bytes", F.octet_length(F.coalesce(text, F.lit(""))).cast("long")), make, "n_tokens long", [*keep, "n_bytes"], text)
+    counted = map_texts(docs.withColumn("n_bytes", F.octet_length(F.coalesce(text, F.lit(""))).cast("long")), make, "n_tokens long", [*keep, "n_bytes"], text, SLICE_BYTES, arrow=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
