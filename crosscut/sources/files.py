@@ -14,7 +14,7 @@ PAYLOAD = "symbol STRING, empty BOOLEAN, candles ARRAY<STRUCT<datetime: BIGINT,
 
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, all columns strings as they stand: "NA" is a ticker and "" is empty, not missing."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000", emptyValue="")
+    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000").fillna("")
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def bars_of_ticks(ticks: DataFrame, width: str = "1 day", *, late: str | None =
 
 
 def event_ticks(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").cast("string").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
+    return events.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
 
 
 def stream_ticks(spark: SparkSession, folder: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
