@@ -36,8 +36,8 @@ PERMUTATIONS = 64
 MAX_MISS = 1e-6
 #: Estimated similarity may fall short of the threshold by this much (over six standard deviations of 128 entries).
 SLACK = 0.22
-#: Members of a star's part, and of a block.
-STAR, BLOCK = 200, 128
+#: Members of a star's part; members of a block, and their shingles, at most about.
+STAR, BLOCK, BLOCK_SHINGLES = 200, 512, 2_000_000
 #: Classes whose texts are fetched by a broadcast of their ids (24 bytes each); beyond, by a shuffled join.
 BROADCAST_ROWS = 500_000
 
@@ -118,25 +118,25 @@ class _Groups:
         return a != b
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node is either a centre (v) or has a single edge to one (u)."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("centre")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("centre").alias("centre")).filter("n + centre > 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the smallest node of the connected component.
 
     Alternating large-star and small-star steps until nothing changes; each round is a table in the shared folder."""
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = settle(edges, name)
-    was = state(edges)
-    while was[0]:
+    while not _stars_only(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = state(edges)
-        if now == was:
-            break
-        was = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -153,8 +153,9 @@ class NearDuplicates:
         self.members = settle(self._members(), "members")
         self.links = settle(self._stars(), "links")
         labels = components(self.links)
-        self.links = self.links.unionByName(settle(self._rest(labels), "links"))
-        self.labels = components(self.links)
+        rest = settle(self._rest(labels), "links")
+        self.links = self.links.unionByName(rest)
+        self.labels = components(labels.toDF("a", "b").unionAll(rest))
 
     def _sketch(self, body: DataFrame) -> DataFrame:
         words, rows = self.words, self.rows
@@ -222,29 +223,37 @@ class NearDuplicates:
 
     def _rest(self, labels: DataFrame) -> DataFrame:
         """Links that buckets not yet in one component still lack."""
-        known = self.members.select("b", "c", "n", "size").join(labels, F.col("c") == F.col("node"), "left").select("b", "c", "size", F.coalesce("label", "c").alias("label"))
-        open_ = known.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("b")
-        rows = known.join(open_, "b").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        known = self.members.select("b", "c", "n").join(labels, F.col("c") == F.col("node"), "left").select("b", "c", "n", F.coalesce("label", "c").alias("label"))
+        parts = known.groupBy("b", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+        open_ = parts.groupBy("b").agg(F.max(F.struct("k", "w", "label")).alias("top"), F.sum("k").alias("k"), F.sum("w").alias("w")).filter("k > top.k")
+        blocks_of = lambda k, w: F.greatest(F.ceil(k / BLOCK), F.ceil(w / BLOCK_SHINGLES))
+        open_ = open_.select("b", F.col("top.label").alias("most"), blocks_of(F.col("k") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("few"), blocks_of(F.col("top.k"), F.col("top.w")).alias("many"))
+        # the largest component's blocks meet the others' only; the others' meet each other too
+        rows, of_most = known.join(open_, "b"), F.col("label") == F.col("most")
+        rows = rows.withColumn("own", F.when(of_most, F.col("few") + F.pmod(F.xxhash64("c"), F.col("many"))).otherwise(F.pmod(F.xxhash64("c"), F.col("few"))))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(of_most, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
         rows = rows.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "label")
         rows = settle(rows, "blocks")
         percent, band, words = self.percent, self.rows, self.words
         n = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
         def pairs(b, block, own, label, sig, band_values, size):
-            """Index pairs of a block that are left to bucket b, have two labels and may be similar."""
+            """Index pairs of a block that are left to bucket b, have two labels and may be similar, likely ones first."""
             need = int((percent / 100 - SLACK) * sig.shape[1])
+            found = []
             for x in range(len(label) - 1):
                 ys = np.arange(x + 1, len(label))
                 if block[0] != block[1]:
                     ys = ys[own[ys] != own[x]]
                 ys = ys[label[ys] != label[x]]
                 ys = ys[100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x])]
-                ys = ys[(sig[ys] == sig[x]).sum(1) >= need]
-                for y in ys.tolist():
-                    shared = np.flatnonzero(band_values[x] == band_values[y])
-                    if len(shared) and band_values[x][shared[0]] == b:
-                        yield x, y
+                alike = (sig[ys] == sig[x]).sum(1)
+                ys, alike = ys[alike >= need], alike[alike >= need]
+                if len(ys):
+                    shared = band_values[ys] == band_values[x]
+                    first = band_values[x][shared.argmax(1)] == b
+                    found += zip(alike[first].tolist(), [x] * int(first.sum()), ys[first].tolist())
+            return [(x, y) for _, x, y in sorted(found, key=lambda f: -f[0])]
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
             key, rows = None, []
