@@ -105,10 +105,10 @@ def signal_summary(daily: DataFrame, *keys: str) -> DataFrame:
 
 def mean_correlations(df: DataFrame, columns: list[str], by: str = "session_date", *, min_n: int = config.MIN_CROSS_SECTION) -> DataFrame:
     """(a, b, correlation): per-date Pearson over rows complete in all columns, averaged over dates with min_n rows."""
-    df = df.dropna(subset=columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)) if a != b else F.when(F.stddev_pop(a) > 0, 1.0)
-    daily = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), *[one(a, b).alias(f"{a}|{b}") for a, b in pairs]).filter(F.col("__n") >= min_n)
-    means = daily.agg(*[F.avg(f"{a}|{b}").alias(f"{a}|{b}") for a, b in pairs])
-    entries = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("correlation")) for a, b in pairs]))
-    return means.select(entries.alias("e")).select("e.*")
+    # the exchange keeps the columns' own expressions from being copied into every pair
+    df = df.dropna(subset=columns).select(by, *columns).repartition(by)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(columns) for b in columns[i:]]
+    long = df.select(by, F.explode(F.array(*pairs)).alias("e")).select(by, "e.*")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    daily = long.groupBy(by, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(F.col("a") == F.col("b"), F.when(spread > 0, 1.0)).otherwise(ratio(F.covar_pop("x", "y"), spread)).alias("c"))
+    return daily.filter(F.col("n") >= min_n).groupBy("a", "b").agg(F.avg("c").alias("correlation"))

@@ -440,7 +440,8 @@ def correlations_sql(names, complete: str) -> str:
     one = lambda a, b: f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)" if a != b else f"CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END"
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     daily = f"cd AS (SELECT session_date, {', '.join(f'{one(a, b)} AS c{i}' for i, (a, b) in enumerate(pairs))} FROM panel WHERE {complete} GROUP BY session_date HAVING count(*) >= 50)"
-    return f"{sql.panel()}, {daily}, cm AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, avg(c{i}) AS correlation FROM cd" for i, (a, b) in enumerate(pairs)) + ")"
+    entries = ", ".join(f"struct_pack(a := '{a}', b := '{b}', correlation := avg(c{i}))" for i, (a, b) in enumerate(pairs))
+    return f"{sql.panel()}, {daily}, cm AS (SELECT unnest([{entries}], recursive := true) FROM cd)"
 
 
 register("group_correlations", correlations_sql(GROUP_COLUMNS, " AND ".join(f"{c} IS NOT NULL" for c in GROUP_COLUMNS)), "SELECT * FROM cm", **columns("a", "b", correlation=5))(
@@ -497,7 +498,7 @@ def other_provider(bars: DataFrame) -> DataFrame:
 PROVIDERS = f"""{sql.DENSE}, d AS (SELECT *, CAST(ts AS DATE) AS session_date, CAST(substr(symbol, 2, 5) AS INTEGER) AS no FROM dense
 ), both_sides AS (SELECT *, close * CASE WHEN no % 10 = 0 THEN 0.95 WHEN no % 7 = 0 AND session_date = DATE '1998-06-15' THEN 1.02 WHEN no % 11 = 0 AND session_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' THEN 1.01 ELSE 1.0 END AS other FROM d
 ), diff AS (SELECT *, abs(other / close - 1) * 10000 AS bps, other / close AS close_ratio FROM both_sides
-), cmp AS (SELECT symbol, count(*) AS overlap_rows, max(bps) AS max_bps, median(bps) AS median_bps, CAST(count_if(bps > 5) AS BIGINT) AS rows_over_tolerance, median(close_ratio) AS median_ratio, 1.0 AS volume_match_rate, 4.0 AS max_offset_hours FROM diff GROUP BY symbol
+), cmp AS (SELECT symbol, count(*) AS overlap_rows, max(bps) AS max_bps, median(bps) AS median_bps, CAST(count_if(bps > 5) AS BIGINT) AS rows_over_tolerance, median(close_ratio) AS median_ratio, CAST(1 AS DOUBLE) AS volume_match_rate, CAST(4 AS DOUBLE) AS max_offset_hours FROM diff GROUP BY symbol
 ), classes AS (SELECT *, CASE WHEN rows_over_tolerance = 0 THEN 'clean' WHEN median_bps > 5 OR abs(median_ratio - 1) > 0.005 THEN 'persistent_adjustment_basis'
   WHEN rows_over_tolerance = 1 OR rows_over_tolerance / CAST(overlap_rows AS DOUBLE) <= 0.01 THEN 'isolated_vendor_difference' ELSE 'localized_adjustment_window' END AS classification FROM cmp)"""
 
