@@ -2,7 +2,8 @@ r"""Quality rules by cross-document line frequency.
 
 Lines are normalised (ASCII white space stripped at both ends, lower-cased) and hashed. For every host the number of
 distinct documents that hold a line is counted, where exact copies of one text count as one document. Lines above the
-host's limit are boilerplate and are removed; a document of which too small a share of words is left is rejected.
+limit, the same for a small and a large host, are boilerplate and are removed; a document of which too small a share of
+words is left is rejected.
 Beside this verdict stand plain per-document rules on word count and on repeated word windows. DataFrame functions only.
 
 Per-document features never leave their row. The line counts shuffle hashes, aggregated before the shuffle; the
@@ -24,8 +25,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate when it stands in more than this many distinct documents of its host, and in more than this share.
+#: A line is boilerplate when it stands in more than this many distinct documents of its host.
 MIN_DOCS = 20
+#: The share of a host's documents that the SQL also asks for; it tells only in hosts of over MIN_DOCS / MAX_SHARE documents.
 MAX_SHARE = 0.02
 #: Documents keep at least this share of their words when boilerplate goes.
 MIN_LEFT = 0.3
@@ -61,15 +63,20 @@ def line_hash(line: str) -> str:
     return f"xxhash64(lower(btrim({line}, {sql_string(WS)})))"
 
 
-def boilerplate(docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h): hashes of the lines that stand in too many distinct documents of a host."""
+def boilerplate(docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
+    """(host, h): hashes of the lines that stand in more than min_docs distinct documents of a host.
+
+    With max_share also in more than this share of them, which lets lines of large hosts stay."""
     own = docs.select(F.col(host).cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = own.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     hashes = f"array_distinct(transform(filter(split(text, '\\n', -1), x -> length(btrim(x, {sql_string(WS)})) > 0), x -> {line_hash('x')}))"
     lines = own.select("host", F.xxhash64("text").alias("t"), F.explode(F.expr(hashes)).alias("h"))
     # distinct (host, line, text), then a count: both aggregates combine before their shuffles
     counts = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.filter(F.col("n") > min_docs).join(texts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")))
+    counts = counts.filter(F.col("n") > min_docs)
+    if max_share is None:
+        return counts.select("host", "h")
+    texts = own.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = counts.join(texts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")))
     return counts.filter(F.col("n") > F.col("n_docs") * max_share).select("host", "h")
 
 
@@ -80,7 +87,7 @@ def quality_rules(
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_docs: int = MIN_DOCS,
-    max_share: float = MAX_SHARE,
+    max_share: float | None = None,
     min_left: float = MIN_LEFT,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:

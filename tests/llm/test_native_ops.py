@@ -67,6 +67,18 @@ def test_quality_rules(odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_in_a_small_and_a_hot_host(spark):
+    """The same line in the same number of documents goes in either host, and stays at the limit."""
+    own = lambda h, i: " ".join(f"{h}{i}x{j}" for j in range(30))
+    line = lambda i: "Cookie notice for all pages\n" if i < 25 else "Line at the limit here\n" if i < 45 else ""
+    rows = [(h * 10_000 + i, f"{line(i)}{own(h, i)}", f"host{h}") for h, n in enumerate((60, 2000)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(df).select("doc_id", "n_removed_lines").collect()
+    assert {r["doc_id"] for r in got if r["n_removed_lines"]} == {h * 10_000 + i for h in (0, 1) for i in range(25)}
+    shared = quality_rules.quality_rules(df, max_share=0.02).filter("n_removed_lines > 0").collect()
+    assert {r["doc_id"] for r in shared} == set(range(25))
+
+
 def targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
