@@ -74,7 +74,7 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda c: F.when(F.col("l_linenumber") == 7, "n/a").otherwise(c.cast("string"))
     price = F.col("l_extendedprice")
     return li.select(
-        F.col("l_shipdate").cast("string").alias("Date"), F.concat(F.lit(" s"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("Symbol"), text(price).alias("Open"),
+        F.col("l_shipdate").cast("string").alias("Date"), F.concat(F.lit(" "), F.lower(tables._symbol("l_suppkey"))).alias("Symbol"), text(price).alias("Open"),
         (price * F.when(F.col("l_linenumber") == 6, 0.5).otherwise(1.5)).cast("string").alias("High"), (price * 0.5).cast("string").alias("Low"), price.cast("string").alias("Close"),
         F.when(F.col("l_linenumber") == 5, -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("string").alias("Volume"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"),
@@ -490,7 +490,7 @@ def _(spark, sf):
 
 def other_provider(bars: DataFrame) -> DataFrame:
     """A second vendor's bars: some adjusted by a dividend, some with single odd closes, four hours later."""
-    no = F.substring("symbol", 2, 5).cast("int")
+    no = tables.symbol_number()
     odd = F.when(no % 10 == 0, 0.95).when((no % 7 == 0) & (F.to_date("timestamp") == F.lit("1998-06-15").cast("date")), 1.02).when((no % 11 == 0) & F.to_date("timestamp").between("1998-01-01", "1998-03-31"), 1.01).otherwise(1.0)
     return bars.withColumns({"close": F.col("close") * odd, "timestamp": F.col("timestamp") + F.expr("INTERVAL 4 HOURS")})
 

@@ -13,7 +13,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _symbol(key: str):
-    return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 5, "0")).alias("symbol")
+    """S and the key in five digits at least; lpad alone would cut longer keys."""
+    text = F.col(key).cast("string")
+    return F.concat(F.lit("S"), F.lpad(text, F.greatest(F.lit(5), F.length(text)), F.lit("0"))).alias("symbol")
+
+
+def symbol_number(symbol: str = "symbol"):
+    """The key in a symbol, all its digits."""
+    return F.substring(symbol, 2, 19).cast("long")
 
 
 def sparse_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +60,7 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmarks(bars: DataFrame) -> DataFrame:
     """Mean closes by session: of all securities (spy) and of those whose number leaves 0 to 3 over fours."""
-    rest = F.pmod(F.substring("symbol", 2, 5).cast("int"), F.lit(4))
+    rest = F.pmod(symbol_number(), F.lit(4))
     baskets = {x: F.when(rest == i, F.col("close")) for i, x in enumerate(("qqq", "tlt", "gld", "schd"))}
     return bars.groupBy("timestamp").agg(F.round(F.avg("close"), 4).alias("spy"), *[F.round(F.avg(c), 4).alias(x) for x, c in baskets.items()])
 
