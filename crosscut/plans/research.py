@@ -113,11 +113,24 @@ def walk_forward(daily: DataFrame, weights: DataFrame, *, start: int = config.MI
     return best.join(tested, "fold").join(F.broadcast(weights), "candidate_id").drop("slot")
 
 
-def baseline_comparison(panel: DataFrame, folds: DataFrame, models: DataFrame, *, label: str = "forward_return_20d", min_n: int = config.MIN_CROSS_SECTION) -> DataFrame:
-    """metric_summary of each model (model, w_...) in each fold's test window (fold, test_start, test_end)."""
+def optimized_weights(penalized: DataFrame, ic_only: DataFrame) -> DataFrame:
+    """(fold, model, w_<group>...): the weights that walk_forward chose in each fold, by its objective and by rank IC alone."""
+    ws = [f"w_{g}" for g in GROUP_NAMES]
+    parts = [df.select("fold", F.lit(f"optimized_{name}").alias("model"), *ws) for name, df in (("penalized", penalized), ("ic_only", ic_only))]
+    return parts[0].unionByName(parts[1])
+
+
+def baseline_comparison(panel: DataFrame, folds: DataFrame, models: DataFrame, optimized: DataFrame | None = None, *, label: str = "forward_return_20d", min_n: int = config.MIN_CROSS_SECTION) -> DataFrame:
+    """metric_summary of each model (model, w_...) in each fold's test window (fold, test_start, test_end).
+
+    optimized holds models whose weights are a fold's own (fold, model, w_...)."""
     rows = panel.filter(F.col("scoring_complete") & F.col(label).isNotNull()).select("session_date", "symbol", *[f"group_{g}" for g in GROUP_NAMES], label)
     rows = rows.join(F.broadcast(folds.select("fold", "test_start", "test_end")), F.col("session_date").between(F.col("test_start"), F.col("test_end")))
-    daily = signal_metrics(scored(rows, models, "model"), "score", label, keys=("fold", "model"), min_n=min_n)
+    both = scored(rows, models, "model")
+    if optimized is not None:
+        own = rows.join(F.broadcast(optimized.select("fold", "model", *[f"w_{g}" for g in GROUP_NAMES])), "fold")
+        both = both.unionByName(own.withColumn("score", composite({g: F.col(f"w_{g}") for g in GROUP_NAMES})))
+    daily = signal_metrics(both, "score", label, keys=("fold", "model"), min_n=min_n)
     return metric_summary(daily, "fold", "model")
 
 
@@ -146,3 +159,36 @@ def momentum_signals(panel: DataFrame, *, min_n: int = config.MIN_CROSS_SECTION)
 def compact_alpha(panel: DataFrame, a: str, b: str, name: str = "compact_alpha") -> DataFrame:
     """Mean of two percentile ranks by date."""
     return panel.withColumns({"__pa": percentile_rank(a, "session_date"), "__pb": percentile_rank(b, "session_date")}).withColumn(name, (F.col("__pa") + F.col("__pb")) / 2).drop("__pa", "__pb")
+
+
+def compact_candidates(panel: DataFrame) -> DataFrame:
+    """panel with the study's four candidates as percentile ranks by date: two momenta, the slow trend, and the blend
+    (mean of the ranks of the momentum without the last month and of the trend)."""
+    momentum = (1 + F.col("return_252d")) / F.nullif(1 + F.col("return_20d"), F.lit(0.0)) - 1
+    raw = {"return_252d": F.col("return_252d"), "momentum_252d_ex_20d": momentum, "ema_50_to_200": F.col("ema_50_to_200")}
+    df = panel.withColumns({f"__v_{n}": F.round(x, 9) for n, x in raw.items()})  # last bits don't decide ties
+    df = df.withColumns({f"rank_{n}": percentile_rank(f"__v_{n}", "session_date") for n in raw}).drop(*[f"__v_{n}" for n in raw])
+    return df.withColumn("compact_alpha_blend", (F.col("rank_momentum_252d_ex_20d") + F.col("rank_ema_50_to_200")) / 2)
+
+
+#: The study's names of the candidates, and their columns in compact_candidates().
+COMPACT_CANDIDATES = {
+    "return_252d": "rank_return_252d",
+    "momentum_252d_ex_20d": "rank_momentum_252d_ex_20d",
+    "ema_50_to_200": "rank_ema_50_to_200",
+    "momentum_12_1_plus_slow_trend": "compact_alpha_blend",
+}
+
+
+def compact_study(candidates: DataFrame, folds: DataFrame, *, horizons: tuple[int, ...] = config.HORIZONS, min_n: int = config.MIN_CROSS_SECTION) -> DataFrame:
+    """signal_summary of every candidate against every horizon in each fold's test window."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(h).alias("horizon"), F.round(c, 9).alias("value"), F.col(f"forward_return_{h}d").alias("label")) for n, c in COMPACT_CANDIDATES.items() for h in horizons]))
+    long = candidates.select("session_date", "symbol", pairs.alias("e")).select("session_date", "symbol", "e.*")
+    rows = long.join(F.broadcast(folds.select("fold", "test_start", "test_end")), F.col("session_date").between(F.col("test_start"), F.col("test_end")))
+    return signal_summary(signal_metrics(rows, "value", "label", keys=("fold", "candidate", "horizon"), min_n=min_n), "fold", "candidate", "horizon")
+
+
+def compact_study_summary(study: DataFrame) -> DataFrame:
+    """Per horizon and candidate over its folds."""
+    means = ("mean_rank_ic", "median_rank_ic", "positive_ic_rate", "mean_spread", "positive_spread_rate")
+    return study.groupBy("horizon", "candidate").agg(F.count_distinct("fold").alias("folds"), *[F.avg(m).alias(m) for m in means])

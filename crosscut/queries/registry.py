@@ -415,6 +415,25 @@ register("baseline_summary", BASE, """SELECT model, count(DISTINCT fold) AS fold
     lambda spark, sf: research.baseline_summary(comparison(spark, sf))
 )
 
+
+
+def full_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """All 1001 candidates by the matrix kernel, kept for the plans that read it more than once (a row a date and candidate)."""
+    return research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)).persist()
+
+
+def full_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """The six fixed models, and in each fold the picks of the full grid by the penalised objective and by IC alone."""
+    d, weights = full_daily(spark, sf), research.weight_grid(spark)
+    penalized, ic_only = (research.walk_forward(d, weights, order=o).withColumn("fold", F.col("fold").cast("long")) for o in (("objective", "mean_rank_ic", "mean_spread"), ("mean_rank_ic", "mean_spread")))
+    return research.baseline_comparison(panel(spark, sf), penalized, research.baseline_weights(spark), research.optimized_weights(penalized, ic_only))
+
+
+register("baseline_comparison_full_grid", **columns("fold", "model"), **SUMMARY_COLUMNS)(full_comparison)
+register("baseline_summary_full_grid", **columns("model", "folds"), **columns("mean_rank_ic", "median_fold_rank_ic", "mean_fold_median_rank_ic", "mean_spread", "mean_positive_spread_rate", "mean_turnover", "positive_ic_fold_rate", digits=5))(
+    lambda spark, sf: research.baseline_summary(full_comparison(spark, sf))
+)
+
 DIAGNOSIS = columns("dates") | columns("mean_rank_ic", "median_rank_ic", "std_rank_ic", "information_ratio", "positive_ic_rate", "mean_spread", "positive_spread_rate", "mean_turnover", digits=5)
 
 
