@@ -504,6 +504,31 @@ def _(spark, sf):
     return crosssection.metric_summary(crosssection.signal_metrics(rows, "value", "label", keys=("fold", "horizon")), "fold", "horizon")
 
 
+LEGS = ["rank_momentum_252d_ex_20d", "rank_ema_50_to_200"]
+STUDY = f"""{MOMENTUM}, v AS (SELECT *, {', '.join(f'round({x}, 9) AS v_{x}' for x in ('return_252d', 'momentum_252d_ex_20d', 'ema_50_to_200'))} FROM m
+), ranks AS (SELECT *, {', '.join(f"{PCT(f'v_{x}')} AS rank_{x}" for x in ('return_252d', 'momentum_252d_ex_20d', 'ema_50_to_200'))} FROM v
+), study AS (SELECT *, ({' + '.join(LEGS)}) / 2 AS compact_alpha_blend FROM ranks)"""
+STUDY_FOLDS = f"""{sql.walk_forward(2)}, {STUDY.removeprefix(sql.panel() + ', ')}, study_rows AS (SELECT fold, candidate, horizon, session_date, symbol, value, label FROM ({' UNION ALL '.join(f"SELECT session_date, symbol, '{n}' AS candidate, CAST({h} AS INTEGER) AS horizon, round({c}, 9) AS value, forward_return_{h}d AS label FROM study" for n, c in research.COMPACT_CANDIDATES.items() for h in config.HORIZONS)}) JOIN best ON session_date BETWEEN test_start AND test_end),
+{sql.signal_daily('study_rows', 'study_daily', 'value', 'label', 'fold, candidate, horizon')}, by_fold AS (SELECT fold, candidate, horizon, {sql.DIAGNOSIS} FROM study_daily GROUP BY fold, candidate, horizon)"""
+STUDY_MEANS = ("mean_rank_ic", "median_rank_ic", "positive_ic_rate", "mean_spread", "positive_spread_rate")
+
+
+def study(spark: SparkSession, sf: str) -> DataFrame:
+    """The folds' windows follow from the dates alone, whatever the grid."""
+    return research.compact_study(research.compact_candidates(panel(spark, sf)), walk(spark, sf))
+
+
+register("compact_study_ranks", STUDY, "SELECT * FROM study", **columns(*KEYS), **columns(*research.COMPACT_CANDIDATES.values(), digits=5))(lambda spark, sf: research.compact_candidates(panel(spark, sf)))
+register("compact_study_by_fold", STUDY_FOLDS, "SELECT * FROM by_fold", **columns("fold", "candidate", "horizon"), **DIAGNOSIS)(study)
+register("compact_study_summary", STUDY_FOLDS, f"SELECT horizon, candidate, count(DISTINCT fold) AS folds, {', '.join(f'avg({m}) AS {m}' for m in STUDY_MEANS)} FROM by_fold GROUP BY horizon, candidate", **columns("horizon", "candidate", "folds"), **columns(*STUDY_MEANS, digits=5))(
+    lambda spark, sf: research.compact_study_summary(study(spark, sf))
+)
+register("compact_leg_correlation", f"{STUDY}, cd AS (SELECT covar_pop({', '.join(LEGS)}) / nullif(stddev_pop({LEGS[0]}) * stddev_pop({LEGS[1]}), 0) AS c FROM study WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LEGS)} GROUP BY session_date HAVING count(*) >= 50)",
+         f"SELECT '{LEGS[0]}' AS a, '{LEGS[1]}' AS b, avg(c) AS correlation FROM cd", **columns("a", "b", correlation=5))(
+    lambda spark, sf: crosssection.mean_correlations(research.compact_candidates(panel(spark, sf)), LEGS).filter("a <> b")
+)
+
+
 # ---------------------------------------------------------------- providers
 
 
