@@ -396,6 +396,16 @@ register("ic_only_pick", IC_PICK, "SELECT * FROM walk", **WALK)(
     lambda spark, sf: research.walk_forward(coarse_daily(spark, sf), research.weight_grid(spark, 0.5), order=("mean_rank_ic", "mean_spread")).withColumn("fold", F.col("fold").cast("long"))
 )
 
+register("candidate_grid_full_grid", **columns("session_date", "candidate_id", "n", "ended"), **columns("rank_ic", "top_bottom_spread", "turnover", digits=5))(
+    lambda spark, sf: research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)).withColumn("ended", F.to_date("label_end"))
+)
+register("candidate_aggregate_full_grid", **columns("candidate_id"), **SUMMARY_COLUMNS)(
+    lambda spark, sf: crosssection.metric_summary(research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)), "candidate_id")
+)
+register("ic_only_pick_full_grid", **WALK)(
+    lambda spark, sf: research.walk_forward(research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)), research.weight_grid(spark), order=("mean_rank_ic", "mean_spread")).withColumn("fold", F.col("fold").cast("long"))
+)
+
 K = len(config.GROUPS)
 MODELS = "models AS (" + " UNION ALL ".join(
     [f"SELECT 'equal_weight' AS model, {', '.join(f'{1 / K!r} AS w_{g}' for g in config.GROUPS)}"] + [f"SELECT '{g}_only', {', '.join('1.0' if x == g else '0.0' for x in config.GROUPS)}" for g in config.GROUPS]
