@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,18 @@ from .token_files import tokenizer_path
 #: Words in the lexicon, and how often a word must occur to be one of them.
 LEXICON_WORDS = 65_536
 MIN_COUNT = 16
-#: Bytes encoded at once; more at once means fewer distinct pre-tokens to look up and merge.
-SLICE_BYTES = 6_000_000
+#: Bytes encoded at once: what a task holds beside its Arrow batch is some hundred times this at most.
+SLICE_BYTES = 1_000_000
 
 
 class Transducer:
     """A minimal acyclic automaton over byte strings; its outputs are sequences of ids."""
 
-    FILES = {"next": "<i4", "add": "<i4", "final": "u1", "column": "<i2", "offsets": "<i8", "ids": "<u4"}
+    #: Arcs in order of (state, byte): key = 256 state + byte, the state they lead to, and what they add to a word's number.
+    FILES = {"key": "<i8", "to": "<i4", "add": "<i4", "final": "u1", "offsets": "<i8", "ids": "<u4"}
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.__dict__.update(arrays)
-        self.columns = int(self.column.max()) + 1
-        self.next2, self.add2 = self.next.reshape(-1, self.columns), self.add.reshape(-1, self.columns)
 
     @staticmethod
     def build(outputs: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
@@ -96,24 +96,18 @@ class Transducer:
                 order.append(state)
                 stack.pop()
         number = {s: i for i, s in enumerate(reversed(order))}
-        used = sorted({b for s in order for b in edges[s]})
-        column = np.full(256, -1, np.int16)
-        column[used] = np.arange(len(used))
-        n, width = len(order), max(1, len(used))
-        if not used:
-            column[0] = 0
-        nxt, add, fin, below = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32), np.zeros(n, np.uint8), {}
+        fin, below, arcs = np.zeros(len(order), np.uint8), {}, []
         for s in order:
             total = int(final[s])
             for byte, child in sorted(edges[s].items()):
-                nxt[number[s], column[byte]] = number[child]
-                add[number[s], column[byte]] = total
+                arcs.append((number[s] << 8 | byte, number[child], total))
                 total += below[child]
             below[s], fin[number[s]] = total, final[s]
+        table = np.array(sorted(arcs), np.int64).reshape(-1, 3)
         offsets = np.zeros(len(words) + 1, np.int64)
         np.cumsum([len(outputs[w]) for w in words], out=offsets[1:])
         ids = np.array(list(itertools.chain.from_iterable(outputs[w] for w in words)), np.uint32)
-        return {"next": nxt.ravel(), "add": add.ravel(), "final": fin, "column": column, "offsets": offsets, "ids": ids}
+        return {"key": table[:, 0], "to": table[:, 1], "add": table[:, 2], "final": fin, "offsets": offsets, "ids": ids}
 
     @staticmethod
     def save(arrays: dict[str, np.ndarray], path: str) -> None:
@@ -127,7 +121,7 @@ class Transducer:
     def find(self, words: list[bytes]) -> np.ndarray:
         """Each word's number among the lexicon's words, or -1; all words walk at once."""
         lengths = np.array([len(w) for w in words], np.int64)
-        data = self.column[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(lengths) - lengths
         found = np.full(len(words), -1, np.int64)
         who, state, number = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -138,11 +132,12 @@ class Transducer:
                 ends = done & (self.final[state] == 1)
                 found[who[ends]] = number[ends]
                 who, state, number = who[~done], state[~done], number[~done]
-            c = data[starts[who] + step]
-            to = np.where(c >= 0, self.next2[state, c], -1)
-            number = number + self.add2[state, c]
-            on = to >= 0
-            who, state, number = who[on], to[on].astype(np.int64), number[on]
+            arc = state << 8 | data[starts[who] + step]
+            at = np.searchsorted(self.key, arc)
+            on = at < len(self.key)
+            on[on] = self.key[at[on]] == arc[on]
+            at = at[on]
+            who, state, number = who[on], self.to[at].astype(np.int64), number[on] + self.add[at]
             step += 1
         return found
 
@@ -174,18 +169,31 @@ def build_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
 class Codec:
     def __init__(self, tokenizer: str, lexicon: str):
         self.bpe, self.lexicon = Bpe(tokenizer), Transducer.open(lexicon)
+        tokens = self.bpe.token_bytes
+        self.token_size = np.array([len(t) for t in tokens], np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_data = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order as unsigned 32-bit integers, the texts' offsets among them)."""
         chunks, word, offsets = self.bpe.numbered(texts)
         values = self._ids(chunks)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts, table = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4")
+        table = np.frombuffer(b"".join(values), "<u4")
         n = sizes[word]
-        upto = np.cumsum(n)
-        ids = table[np.repeat(starts[word] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
-        cuts = np.concatenate([[0], upto])[offsets].tolist()
-        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+        return gathered(table, (np.cumsum(sizes) - sizes)[word], n), np.concatenate([[0], np.cumsum(n)])[offsets]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, cuts = self.encode_flat(texts)
+        return [ids[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+    def decode_flat(self, ids: np.ndarray, cuts: np.ndarray) -> Iterator[memoryview]:
+        """The bytes that each text's ids stand for."""
+        size = self.token_size[ids]
+        data = memoryview(gathered(self.token_data, self.token_start[ids], size))
+        upto = np.concatenate([[0], np.cumsum(size)])[cuts].tolist()
+        return (data[x:y] for x, y in zip(upto, upto[1:]))
 
     def _ids(self, chunks: list[str | int]) -> list[bytes]:
         """Ids of distinct chunks."""
@@ -207,8 +215,25 @@ class Codec:
         return [c.to_bytes(4, "little") if isinstance(c, int) else of(p[0]) if len(p) == 1 else b"".join(map(of, p)) for c, p in zip(chunks, cut)]
 
     def decode(self, ids: bytes) -> str:
-        token = self.bpe.token_bytes
-        return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        one = np.frombuffer(ids, "<u4")
+        return str(next(self.decode_flat(one, np.array([0, len(one)]))), "utf-8", "replace")
+
+
+def gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs table[start : start + size], end to end."""
+    upto = np.cumsum(sizes)
+    return table[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def worker_codec(tokenizer: str, lexicon: str) -> Codec:
+    """This worker's codec: read once, whatever number of tasks the worker runs."""
+    if (tokenizer, lexicon) not in _codecs:
+        _codecs.clear()
+        _codecs[tokenizer, lexicon] = Codec(tokenizer, lexicon)
+    return _codecs[tokenizer, lexicon]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: bool = True, decoded: bool = True, lexicon: str | None = None) -> DataFrame:
@@ -221,15 +246,21 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: b
     names = [f.split()[0] for f in fields]
 
     def make():
-        codec = Codec(tokenizer, lexicon)
+        codec = worker_codec(tokenizer, lexicon)
 
         def kernel(texts: pa.Array) -> dict:
+            flat, cuts = codec.encode_flat(texts)
             out: dict[str, list] = {n: [] for n in names}
-            for x in codec.encode(texts):
-                back = codec.decode(x)
-                row = {"n_tokens": len(x) // 4, "ids_sha256": hashlib.sha256(x).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest(), "ids": x, "decoded": back}
-                for n in names:
-                    out[n].append(row[n])
+            data = memoryview(flat).cast("B") if len(flat) else memoryview(b"")
+            for a, b, raw in zip(cuts[:-1].tolist(), cuts[1:].tolist(), codec.decode_flat(flat, cuts)):
+                back = str(raw, "utf-8", "replace")  # what doesn't form UTF-8 is replaced
+                out["n_tokens"].append(b - a)
+                out["ids_sha256"].append(hashlib.sha256(data[4 * a : 4 * b]).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+                if ids:
+                    out["ids"].append(data[4 * a : 4 * b])
+                if decoded:
+                    out["decoded"].append(back)
             return out
 
         return kernel

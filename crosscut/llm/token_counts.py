@@ -23,8 +23,8 @@ from .common import documents, map_texts
 from .token_files import tokenizer_path
 
 LIMIT = 512
-#: Bytes counted at once; more at once means fewer distinct pre-tokens to merge.
-SLICE_BYTES = 6_000_000
+#: Bytes counted at once: what a task holds beside its Arrow batch is some hundred times this at most.
+SLICE_BYTES = 1_000_000
 
 
 class Counter:
@@ -43,12 +43,23 @@ class Counter:
         return np.diff(np.concatenate([[0], np.cumsum(each[word])])[offsets])
 
 
+_counters: dict[str, Counter] = {}
+
+
+def worker_counter(path: str) -> Counter:
+    """This worker's counter: the vocabulary is read once, whatever number of tasks the worker runs."""
+    if path not in _counters:
+        _counters.clear()
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes, n_tokens (long) and over_limit (boolean)."""
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
 
     def make():
-        counter = Counter(tokenizer)
+        counter = worker_counter(tokenizer)
         return lambda texts: {"n_tokens": counter(texts)}
 
     counted = map_texts(docs.withColumn("n_bytes", F.octet_length(F.coalesce(text, F.lit(""))).cast("long")), make, "n_tokens long", [*keep, "n_bytes"], text, SLICE_BYTES, arrow=True)
