@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix reads of each document, once for every time that it is read."""
-    return mixing.mixed_documents(docs)
+    """What the mix reads of each document, in blocks of 64 words, once for every time that it is read."""
+    return mixing.mixed_documents(docs, block_words=64)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-Every language has a zstandard raw-content dictionary of normalised training text. A text (lower-cased, letters only,
-each distinct word once, in order) is compressed with each; the smallest output names the language. Short texts, where
-whole bytes are too coarse, are compressed with several parts of each dictionary and their sizes added. A narrow margin
+Every language has a zstandard raw-content dictionary: the words and word pairs that most of its training documents
+hold, the most common last, where they are cheapest to refer to. A whole text, lower-cased and with letters only, is
+compressed with each dictionary, texts of all lengths alike; the smallest output names the language. A narrow margin
 between the best and the second language is a rejection.
 
-Learning takes a bounded sample of labelled rows (FIT_DOCS documents a language, each of FIT_CHARS characters), chosen
-by a hash of doc_id from all of them; predictions cover all rows and whole texts.
+Learning takes at most FIT_DOCS labelled documents of a language, of any length and whole, chosen by a hash of doc_id and
+text from all of them; nothing of them reaches the driver but the dictionaries. Texts are filtered before any shuffle.
+Predictions cover all rows and whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and counts as rejected; ties go to the
-language first in code-point order and count as rejected; rows without a language teach nothing; repeated rows, null ids
-and extra columns pass through, and an input column named like a result is replaced; an empty table gives an empty
-result; without any labelled row every text is `und`.
+language first in code-point order and count as rejected; rows without a language teach nothing; repeated rows teach
+once; very long texts are compressed whole, one at a time; null ids and extra columns pass through, and an input column
+named like a result is replaced; an empty table gives an empty result; without any labelled row every text is `und`;
+more than MAX_LANGS distinct labels raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,50 +26,66 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, mapped_file, put_file, shared_path
+from .common import MAX_LONG, documents, map_texts, mapped_file, put_file, settle, shared_path
 
 FIT_DOCS = 800
-FIT_CHARS = (200, 8_000)
+MAX_LANGS = 1000
 DICT_BYTES = 1 << 18
-LEVEL = 3
-#: Normalised texts below this many bytes are measured with parts of the dictionaries.
-SHORT_BYTES, SHORT_PARTS, SHORT_LEVEL = 160, 4, 9
+LEVEL = 15
 #: (second - best) / second below which a prediction is rejected.
 MIN_MARGIN = 0.005
 
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
-def normalised(text: str) -> bytes:
-    return " ".join(dict.fromkeys(NOT_LETTERS.sub(" ", text.lower()).split())).encode()
+def normalised(text: str) -> str:
+    """Lower-case runs of letters with a blank before and behind each; empty without a letter."""
+    words = NOT_LETTERS.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
 
 
 def held_out(doc_id: Column, of: int, value: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(of)) == value, F.lit(False))
 
 
+def sampled(docs: DataFrame, lang: str, text: str, fit_docs: int) -> DataFrame:
+    """(lang, h, text): at most fit_docs distinct labelled documents of each language, those of the smallest hashes."""
+    spark = docs.sparkSession
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.shiftrightunsigned(F.xxhash64("doc_id", text), 1).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # hashes below a language's share: some more than fit_docs documents are expected, cut to fit_docs below
+    share = {r["lang"]: min(1.0, (1.2 * fit_docs + 50) / r["n"]) for r in counts}
+    limit = spark.createDataFrame([(x, min(MAX_LONG, int(v * MAX_LONG))) for x, v in share.items()], "l2 string, upto long")
+    near = rows.join(F.broadcast(limit), F.col("lang") == F.col("l2")).filter("h <= upto").select("lang", "h", "text")
+    near = settle(near.groupBy("lang", "h").agg(F.first("text").alias("text")), "sample")
+    last = near.groupBy("lang").agg(F.element_at(F.slice(F.array_sort(F.collect_list("h")), 1, fit_docs), -1).alias("last")).withColumnRenamed("lang", "l2")
+    return near.join(F.broadcast(last), F.col("lang") == F.col("l2")).filter("h <= last").select("lang", "h", "text")  # a row a language
+
+
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", fit_docs: int = FIT_DOCS, dict_bytes: int = DICT_BYTES) -> str:
     """Dictionaries from the labelled rows of docs, written to the shared folder; returns their path.
 
-    At most fit_docs texts a language reach the driver, which makes and writes the dictionaries."""
-    size = F.length(text)
-    rows = docs.filter(F.col(lang).isNotNull() & size.between(*FIT_CHARS)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # hashes below a language's share: some more than fit_docs rows of it are expected, cut to fit_docs below
-    share = (F.lit(fit_docs) * 1.2 + 50) / F.col("n")
-    limit = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise(F.round(share * float(1 << 63)).cast("long"))
-    picked = rows.join(counts.select(F.col("lang").alias("l2"), limit.alias("limit")), F.col("lang") == F.col("l2")).filter(F.shiftrightunsigned("h", 1) <= F.col("limit"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample: dict[str, bytearray] = {}
-    for row in picked.select("lang", "text", first.alias("no"), "h").filter(F.col("no") <= fit_docs).orderBy("lang", "no").toLocalIterator():
-        own = sample.setdefault(row["lang"], bytearray())
-        if len(own) < dict_bytes:
-            own += normalised(row["text"]) + b" "
+    The driver gets at most dict_bytes of terms a language."""
+    kernel = lambda texts: {"body": [normalised(t).strip() for t in texts]}
+    bodies = map_texts(sampled(docs, lang, text, fit_docs), lambda: kernel, "body string", ["lang"]).filter("body <> ''")
+    words = bodies.select("lang", F.split("body", " ", -1).alias("w"))
+    pairs = "IF(size(w) < 2, CAST(array() AS array<string>), zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))"
+    terms = words.select("lang", F.explode(F.expr(f"array_distinct(concat(w, {pairs}))")).alias("term"))
+    counts = terms.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | ~F.contains("term", F.lit(" ")))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "term")  # a language's sampled terms
+    upto = counts.select("lang", "term", F.sum(F.octet_length("term") + 1).over(first.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for row in upto.filter(F.col("upto") < dict_bytes).collect():
+        found.setdefault(row["lang"], []).append((row["upto"], row["term"]))
     path = shared_path(docs.sparkSession, "langid")
-    langs = sorted(x for x in sample if len(sample[x]) > 8)
+    data = {x: (" " + " ".join(t for _, t in sorted(found[x], reverse=True)) + " ").encode() for x in sorted(found)}
+    data = {x: d * -(-8 // len(d)) for x, d in data.items()}  # zstandard takes eight bytes at least
+    langs = list(data)
     put_file(path, "langs", [json.dumps(langs).encode()])
     for i, x in enumerate(langs):
-        put_file(path, f"{i}.dict", [bytes(sample[x][:dict_bytes])])
+        put_file(path, f"{i}.dict", [data[x]])
     return path
 
 
@@ -82,18 +100,17 @@ class Identifier:
             d.precompute_compress(level=level)
             return z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-        data = [mapped_file(path, f"{i}.dict", "u1").tobytes() for i in range(len(self.langs))]
-        self.whole = [[compressor(d, LEVEL)] for d in data]
-        part = [max(9, len(d) // SHORT_PARTS) for d in data]
-        self.parts = [[compressor(d[i : i + n], SHORT_LEVEL) for i in range(0, len(d), n) if len(d) - i > 8][:SHORT_PARTS] for d, n in zip(data, part)]
+        self.compressors = [compressor(mapped_file(path, f"{i}.dict", "u1").tobytes(), LEVEL) for i in range(len(self.langs))]
+
+    def sizes(self, text: str) -> np.ndarray:
+        body = normalised(text).encode()
+        return np.array([len(c.compress(body)) for c in self.compressors if body])
 
     def __call__(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin)."""
-        body = normalised(text)
-        if not body or not self.langs:
+        sizes = self.sizes(text)
+        if not len(sizes):
             return "und", 0.0, 0.0
-        use = self.parts if len(body) < SHORT_BYTES else self.whole
-        sizes = np.array([sum(len(c.compress(body)) for c in cs) / len(cs) for cs in use])
         best = int(sizes.argmin())
         score = 1 / float(np.exp(np.maximum(-60, (sizes[best] - sizes) * math.log(2))).sum())
         second = np.partition(sizes, 1)[1] if len(sizes) > 1 else sizes[best] * 2

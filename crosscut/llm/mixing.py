@@ -1,18 +1,23 @@
 """Mixing sources to target weights.
 
 Documents of a source are packed end to end into blocks of `block_words` words. Every output shard draws, for each of
-its slots, a source by the target shares: multinomial counts per shard. A source's draws are numbered across shards;
-slot number k of a source reads block perm(k mod blocks) of pass k div blocks, where perm is a keyed Feistel permutation
-of the source's block numbers, so that no block is read a second time before all were read once. Slots beyond a
-source's quota are left out and missing ones are added in top-up shards, since independent draws alone would miss the
-targets and break the limit of passes. Blocks join the documents by (source, block).
+its slots, a source by the target shares: multinomial counts per shard, and these draws alone say how many blocks of a
+source the mix reads. A source's draws are numbered across shards; draw number k of a source reads block perm(k mod
+blocks) of pass k div blocks, where perm is a keyed Feistel permutation of the source's block numbers, so that no block
+is read a second time before all were read once. Draws beyond max_repeats passes are drawn again among the sources that
+have room. Blocks join the documents by (source, block).
 
-Positions come from two-level prefix sums (documents within hashed chunks of a source, then chunks), so that no task
-holds a whole source. DataFrame code only; the same input gives the same mix, as all draws are hashes of a seed.
+As draws are random, a source's words differ from its target T by a standard deviation of sqrt(T block_words) at most
+(and by a block), whatever the size of the table.
+
+Positions and draw numbers come from two-level prefix sums (documents within hashed chunks of a source, then chunks;
+shards within groups of shards, then groups), so that no task holds a whole source. Only the table of sources, a row
+each, is ordered in one task. DataFrame code only; the same input gives the same mix, as all draws are hashes of a seed.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, last in
-order; rows that share a doc_id are packed one after another and get a row each; extra columns pass through, and an
-input column named like a result is replaced; an empty table gives an empty result.
+order; rows that share a doc_id are packed one after another and get a row each, with work in proportion to their
+number; very long texts lie in many blocks like any run of documents; extra columns pass through, and an input column
+named like a result is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +25,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, WS, WS_RE, documents, let, settle, sql_string, word_count
+from .common import WS, WS_RE, documents, let, settle, sql_string, word_count
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 SHARD_SLOTS = 1024
+#: Shards in a group of the first level of numbering; slots that a task handles, about.
+GROUP_SHARDS, TASK_SLOTS = 1024, 500_000
 MAX_REPEATS = 3
+#: Sources whose table (some 40 bytes each) joins by a broadcast; beyond, by a shuffle.
+BROADCAST_SOURCES = 100_000
 SEED = 17
 #: Documents in a chunk of the first level of prefix sums, about; at most this many chunks of a source.
 CHUNK_DOCS, MAX_CHUNKS = 256, 65536
@@ -75,16 +84,18 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = SEED,
+    draw_seed: int | None = None,
 ) -> Mix:
-    return Mix(docs, weights, max_repeats, block_words, shard_slots, seed)
+    """seed keys the permutations and, unless draw_seed is given, the draws."""
+    return Mix(docs, weights, max_repeats, block_words, shard_slots, seed, seed if draw_seed is None else draw_seed)
 
 
 class Mix:
-    """The plan of a mix: `sources`, `slots` (shard, source, k, pass, block), `placed` (documents in their source's
-    stream) and `taken` (what is read of each document)."""
+    """The plan of a mix: `sources`, `runs` (draws by shard), `slots` (shard, source, k, pass, block), `placed`
+    (documents in their source's stream) and `taken` (what is read of each document)."""
 
-    def __init__(self, docs: DataFrame, weights, max_repeats: int, block_words: int, shard_slots: int, seed: int):
-        self.docs, self.block_words, self.seed = docs, block_words, seed
+    def __init__(self, docs: DataFrame, weights, max_repeats: int, block_words: int, shard_slots: int, seed: int, draw_seed: int):
+        self.docs, self.block_words, self.seed, self.draw_seed, self.shard_slots = docs, block_words, seed, draw_seed, shard_slots
         body = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), word_count(F.col("text")).alias("size"))
         body = body.groupBy("doc_id", "source", "t", "size").agg(F.count(F.lit(1)).alias("rows"))  # repeated rows stand side by side
         body = settle(body, "sizes")
@@ -97,44 +108,76 @@ class Mix:
         sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
         targets = source_targets(sizes, weights=weights, max_repeats=max_repeats)
         blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
-        quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * blocks / F.col("source_size")), blocks * max_repeats)).otherwise(0).cast("long")
-        self.sources = settle(targets.withColumns({"blocks": blocks, "quota": quota}), "sources")
+        share = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)  # in blocks
+        order = Window.orderBy(F.col("source").asc_nulls_last())
+        sources = targets.withColumns({"blocks": blocks, "most": blocks * max_repeats, "share": share, "no": F.row_number().over(order)})
+        self.sources = settle(sources, "sources")
+        self.small = self.sources.count() <= BROADCAST_SOURCES
         within = Window.partitionBy("source", "chunk").orderBy("doc_id", "t")
         placed = body.withColumn("pos", F.sum("words").over(within) - F.col("words"))
         base = base.withColumnsRenamed({"source": "s2", "chunk": "c2"})
         placed = placed.join(base, (F.col("chunk") == F.col("c2")) & F.col("source").eqNullSafe(F.col("s2"))).withColumn("start", F.col("base") + F.col("pos"))
         self.placed = placed.select("doc_id", "source", "t", "size", "rows", "start")
-        self.slots = self._slots(shard_slots)
-
-    def _slots(self, shard_slots: int) -> DataFrame:
-        spark, seed = self.docs.sparkSession, self.seed
-        order = Window.orderBy(F.col("source").asc_nulls_last())
-        cum = self.sources.select("source", "blocks", "quota", F.sum("quota").over(order).alias("upto"), F.row_number().over(order).alias("no"))
-        total, n_sources = self.sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
-        shards = -(-total // shard_slots)
-        # every slot of a shard draws by inverting the shares; the draws add up to multinomial counts per shard. A draw
-        # meets the shares' intervals in cells of equal width, by an equi-join whose other side has a few rows a source.
-        cell = max(1, total // max(1024, 4 * n_sources))
-        intervals = cum.filter("quota > 0").select("no", (F.col("upto") - F.col("quota")).alias("lo"), F.col("upto").alias("hi"))
+        self.runs = self._runs()
+
+    def _drawn(self, sources: DataFrame, total: int, first_shard: int, turn: int) -> DataFrame:
+        """(no, shard, n): `total` slots in shards from first_shard on, each a draw of a source by share."""
+        spark, n = self.docs.sparkSession, self.shard_slots
+        shards = -(-total // n)
+        scale = 1 << 40  # draws are integers below it
+        order = Window.orderBy("no")
+        upto = F.sum("share").over(order) / F.sum("share").over(Window.partitionBy(F.lit(1)))
+        ends = sources.filter("share > 0").select("no", F.round(upto * scale).cast("long").alias("hi"))
+        intervals = ends.withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0).cast("long"))).filter("hi > lo")
+        # a draw meets the intervals in cells of equal width, by an equi-join whose other side has a few rows a source
+        cell = scale // 1024
         intervals = intervals.withColumn("cell", F.explode(F.expr(f"sequence(lo DIV {cell}, (hi - 1) DIV {cell})")))
-        slots = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(total) - F.col("id") * shard_slots).cast("int") - 1)).alias("slot"))
-        slots = slots.withColumn("draw", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "slot"), F.lit(max(total, 1)))).withColumn("cell", F.expr(f"draw DIV {cell}"))
-        drawn = slots.join(intervals, "cell").filter("draw >= lo AND draw < hi")
-        counts = drawn.groupBy("no", "shard").agg(F.count(F.lit(1)).alias("n"))
-        numbered = counts.withColumn("k0", F.sum("n").over(Window.partitionBy("no").orderBy("shard")) - F.col("n"))
-        numbered = settle(numbered, "draws")
-        drawn = numbered.groupBy("no").agg(F.sum("n").alias("drawn"))
-        src = cum.select("no", "source", "blocks", "quota")
-        regular = numbered.join(src, "no").select("shard", "source", "blocks", "k0", F.least(F.col("n"), F.col("quota") - F.col("k0")).alias("n"))
-        lacking = src.join(drawn, "no", "left").withColumn("k0", F.coalesce("drawn", F.lit(0))).filter("k0 < quota")
-        pieces = F.explode(F.sequence(F.lit(0), ((F.col("quota") - F.col("k0") - 1) / shard_slots).cast("long")))
-        top_up = lacking.select("source", "blocks", "quota", "k0", pieces.alias("piece")).select(
-            (F.lit(shards) + F.col("piece")).alias("shard"), "source", "blocks", (F.col("k0") + F.col("piece") * shard_slots).alias("k0"),
-            F.least(F.lit(shard_slots), F.col("quota") - F.col("k0") - F.col("piece") * shard_slots).alias("n"),
-        )
-        runs = regular.filter("n > 0").unionByName(top_up)
+        slots = spark.range(0, shards, 1, self._tasks(total)).select(
+            (F.col("id") + first_shard).alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.lit(total) - F.col("id") * n).cast("int") - 1)).alias("slot")
+        )
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(self.draw_seed), F.lit("draw"), F.lit(turn), "shard", "slot"), 24)
+        slots = slots.withColumn("draw", draw).withColumn("cell", F.expr(f"draw DIV {cell}"))
+        return slots.join(intervals, "cell").filter("draw >= lo AND draw < hi").groupBy("no", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+    def _side(self, sources: DataFrame) -> DataFrame:
+        """A table of sources as the other side of a join."""
+        return F.broadcast(sources) if self.small else sources
+
+    def _tasks(self, slots: int) -> int:
+        return max(int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots // TASK_SLOTS))
+
+    def _runs(self) -> DataFrame:
+        """(no, shard, k0, n): a shard's draws of a source have the numbers k0 to k0 + n - 1."""
+        total = self.sources.agg(F.coalesce(F.round(F.sum("share")), F.lit(0)).cast("long")).first()[0]
+        runs, shard, turn, sources = None, 0, 0, self.sources.withColumn("before", F.lit(0).cast("long"))
+        while total:
+            drawn = settle(self._drawn(sources, total, shard, turn), "draws").withColumn("group", F.expr(f"shard DIV {GROUP_SHARDS}"))
+            # two-level prefix sums: shards within groups, then groups
+            groups = drawn.groupBy("no", "group").agg(F.sum("n").alias("sum"))
+            base = groups.select("no", "group", (F.sum("sum").over(Window.partitionBy("no").orderBy("group")) - F.col("sum")).alias("base"))
+            within = F.sum("n").over(Window.partitionBy("no", "group").orderBy("shard")) - F.col("n")
+            numbered = drawn.withColumn("within", within).join(base, ["no", "group"]).join(self._side(sources.select("no", "most", "before")), "no")
+            k0 = F.col("before") + F.col("base") + F.col("within")
+            new = numbered.select("no", "shard", k0.alias("k0"), F.least(F.col("n"), F.col("most") - k0).alias("n")).filter("n > 0")
+            runs = new if runs is None else runs.unionAll(new)
+            sums = drawn.groupBy("no").agg(F.sum("n").alias("sum"))
+            after = sources.join(sums, "no", "left").withColumn("wanted", F.col("before") + F.coalesce("sum", F.lit(0)))
+            # what is above a source's passes is drawn again among those with room
+            left = after.agg(F.sum(F.greatest(F.lit(0), F.col("wanted") - F.col("most"))), F.sum(F.greatest(F.lit(0), F.col("most") - F.col("wanted")))).first()
+            sources = settle(after.select(*self.sources.columns, F.least("wanted", "most").alias("before")).withColumn("share", F.when(F.col("before") < F.col("most"), F.col("share")).otherwise(0.0)), "sources")
+            shard, turn, total = shard + -(-total // self.shard_slots), turn + 1, min(left[0], left[1])
+            if sources.filter("share > 0").isEmpty():
+                break
+        if runs is None:
+            runs = self.docs.sparkSession.range(0).selectExpr("CAST(id AS INT) AS no", "id AS shard", "id AS k0", "id AS n")
+        return settle(runs, "runs")
+
+    @property
+    def slots(self) -> DataFrame:
+        total = self.runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        runs = self.runs.repartition(self._tasks(total), "no", "shard").join(self._side(self.sources.select("no", "source", "blocks")), "no")
         runs = runs.select("shard", "source", "blocks", F.explode(F.expr("sequence(k0, k0 + n - 1)")).alias("k"))
-        perm = permuted_sql("(k % blocks)", "blocks", f"{seed}, source, k DIV blocks")
+        perm = permuted_sql("(k % blocks)", "blocks", f"{self.seed}, source, k DIV blocks")
         return runs.select("shard", "source", "k", F.expr("k DIV blocks").alias("pass"), F.expr(perm).alias("block"))
 
     @property
@@ -148,22 +191,23 @@ class Mix:
         on = (F.coalesce("source", F.lit("")) == F.col("s2")) & (F.col("source").isNull() == F.col("n2")) & (F.col("block") == F.col("b2"))
         return spans.join(times, on, "left").drop("s2", "n2", "b2").withColumn("times", F.coalesce("times", F.lit(0)))
 
-    def _with_copies(self, df: DataFrame) -> DataFrame:
-        """A row for each of the rows that share everything, with its own place in the stream."""
-        return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
-
     @property
     def stretches(self) -> DataFrame:
-        """(doc_id, source, t, copy, size, block, times, first, upto): words [first, upto) of a row lie in a block."""
+        """(doc_id, source, t, copy, size, block, times, first, upto): words [first, upto) of a row lie in a block.
+
+        Of rows that share everything only those meet a block that lie in it, by their places in the stream."""
+        begin, end = F.col("block") * self.block_words - F.col("start"), (F.col("block") + 1) * self.block_words - F.col("start")
+        first, last = F.floor(F.greatest(begin, F.lit(0)) / F.col("size")), F.least(F.floor((end - 1) / F.col("size")), F.col("rows") - 1)
+        each = self.pieces.withColumn("copy", F.explode(F.sequence(first, last))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
         a = F.greatest(F.lit(0), F.col("block") * self.block_words - F.col("start"))
         b = F.least(F.col("size"), (F.col("block") + 1) * self.block_words - F.col("start"))
-        return self._with_copies(self.pieces).withColumns({"first": a, "upto": b}).filter("first < upto")
+        return each.withColumns({"first": a, "upto": b}).filter("first < upto")
 
     @property
     def taken(self) -> DataFrame:
         """A row for each row of the documents: doc_id, source, size, source_size, target, taken."""
         got = self.stretches.groupBy("doc_id", "source", "t", "copy", "size").agg(F.sum((F.col("upto") - F.col("first")) * F.col("times")).alias("taken"))
-        none = self.placed.filter("size = 0").withColumns({"copy": F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)), "taken": F.lit(0).cast("long")})
+        none = self.placed.filter("size = 0").withColumns({"copy": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)), "taken": F.lit(0).cast("long")})
         rows = got.unionByName(none.select(*got.columns))
         src = self.sources.select(F.col("source").alias("s2"), "source_size", "target")
         return rows.join(src, F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "source", "t", "copy", "size", "source_size", "target", "taken")
@@ -174,15 +218,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     often, with the columns of docs (n_chars, where there is one, is the new text's length).
 
     A text read whole is kept as it is; of others the words read are joined by blanks. Of rows that share doc_id, source
-    and text one row's other columns stand for all."""
-    text, missing = F.coalesce("text", F.lit("")), F.lit(MAX_LONG)
-    key = {"__mx_id": F.coalesce("doc_id", missing), "__mx_no_source": F.col("source").isNull(), "__mx_source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
+    and text the other columns of one, that of the smallest hash, stand for all."""
+    text = F.coalesce("text", F.lit(""))
+    key = {
+        "__mx_id": F.coalesce("doc_id", F.lit(0)), "__mx_no_id": F.col("doc_id").isNull(),
+        "__mx_no_source": F.col("source").isNull(), "__mx_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+    }
     read = mix(docs, **options).stretches.filter("times > 0").withColumns(key)
     read = read.groupBy(*key, F.col("t").alias("__mx_t"), "copy", "size").agg(F.array_sort(F.collect_list(F.struct("first", "upto", "times"))).alias("__mx_read"), F.max("times").alias("most"))
     read = read.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most")))).withColumn("__mx_read", F.expr("filter(__mx_read, x -> x.times >= pass)"))
     read = read.withColumn("__mx_whole", F.expr("aggregate(__mx_read, 0L, (a, x) -> a + x.upto - x.first)") == F.col("size")).drop("copy", "most", "pass", "size")
     keys = [*key, "__mx_t"]
-    own = docs.withColumns(key | {"__mx_t": F.xxhash64(text)}).dropDuplicates(keys)
+    own = docs.withColumns(key | {"__mx_t": F.xxhash64(text)}).groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__mx_row")).select(*keys, "__mx_row.*")
     words = f"split(btrim(text, {sql_string(WS)}), {sql_string(WS_RE)}, -1)"
     part = F.expr(let(words, "w", "array_join(flatten(transform(__mx_read, x -> slice(w, CAST(x.first AS INT) + 1, CAST(x.upto - x.first AS INT)))), ' ')"))
     out = own.join(read, keys).withColumn("text", F.when(F.col("__mx_whole"), F.col("text")).otherwise(part))

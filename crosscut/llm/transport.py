@@ -2,14 +2,20 @@
 
 mux() stores a payload as a single-program transport stream: a program association and a program map table before every
 random-access point, the payload in access units, each a PES packet with a presentation timestamp, cut into 188-byte
-packets with continuity counters; packets at random-access points carry the flag and a clock reference. demux() parses
-the tables (sections' checksums verified), checks the continuity counters, reassembles the elementary packets and
-returns the payload with the timestamps and the random-access points (timestamp and packet number). The columns are
-written to a table in the shared folder and read back from it.
+packets with continuity counters; packets at random-access points carry the flag and a clock reference. A private
+descriptor in the program map says how many payload bytes and access units the stream has.
+
+demux() parses the tables (sections' checksums verified), follows the continuity counters of the tables' and of the
+elementary stream's packets (a repeated packet is left out and counted, a flagged discontinuity is none), reassembles
+the PES packets, holds their lengths against the bytes that came and their timestamps and number against the
+descriptor, and returns the payload with the timestamps and the random-access points (timestamp and packet number).
+The media and then, read back from it, its timestamps and points are columns of tables in the shared folder.
 
 Defined cases: a null or empty text is 576 bytes of 255; equal texts give equal streams; repeated rows, null ids and
-extra columns pass through, and an input column named like a result is replaced; an empty table gives an empty result.
-A stream that lost packets is reported by its count of continuity errors; broken tables raise ValueError.
+extra columns pass through, and an input column named like a result is replaced; an empty table gives an empty result;
+a very long text is one stream, handled alone (some four times its size in memory). A stream that lost packets keeps
+what came and is reported by its counts; a null stream, one out of sync or one with broken tables has null results and
+says so in column error.
 """
 
 from __future__ import annotations
@@ -65,12 +71,15 @@ def _table_packet(pid: int, section: bytes) -> np.ndarray:
     return np.frombuffer((head + section).ljust(PACKET, b"\xff"), np.uint8)
 
 
-TABLES = np.stack(
-    [
-        _table_packet(PAT_PID, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))),
-        _table_packet(PMT_PID, _section(2, PROGRAM, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00")),
-    ]
-)
+ASSOCIATION = _table_packet(PAT_PID, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big")))
+#: Private descriptor in the program's loop: payload bytes (8 bytes), access units and ticks between them (4 bytes each).
+DESCRIPTOR_TAG, DESCRIPTOR_SIZE = 0xE0, 16
+
+
+def _map_packet(size: int, units: int) -> np.ndarray:
+    own = bytes([DESCRIPTOR_TAG, DESCRIPTOR_SIZE]) + size.to_bytes(8, "big") + units.to_bytes(4, "big") + TICKS.to_bytes(4, "big")
+    stream = bytes([STREAM_TYPE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00"
+    return _table_packet(PMT_PID, _section(2, PROGRAM, (0xE000 | ES_PID).to_bytes(2, "big") + (0xF000 | len(own)).to_bytes(2, "big") + own + stream))
 
 
 def pad(data: bytes, multiple: int = PAD) -> bytes:
@@ -128,58 +137,103 @@ def mux(payload: bytes) -> bytes:
     whole = np.empty((n + 2 * points, PACKET), np.uint8)
     place = np.arange(n) + np.cumsum(before)
     whole[place] = out
-    for i in (0, 1):
+    for i, packet in enumerate((ASSOCIATION, _map_packet(size, units))):
         rows = place[at] - 2 + i
-        whole[rows] = TABLES[i]
+        whole[rows] = packet
         whole[rows, 3] |= (np.arange(points) % 16).astype(np.uint8)
     return whole.tobytes()
 
 
-def _parse_section(packets: np.ndarray, pid: int, table_id: int) -> bytes:
-    rows = packets[((packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]) == pid]
+def _section_of(packets: np.ndarray, pids: np.ndarray, pid: int, table_id: int) -> bytes:
+    """The body of the first whole section of a table."""
+    rows = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))
     if not len(rows):
         raise ValueError(f"no table on PID {pid}")
-    raw = rows[0, 4:].tobytes()
-    raw = raw[1 + raw[0] :]
-    size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
-    if raw[0] != table_id or size > len(raw) or section_crc(raw[:size]):
-        raise ValueError(f"broken table on PID {pid}")
-    return raw[8 : size - 4]
+    for row in rows:
+        raw = packets[row, 4:].tobytes()
+        raw = raw[1 + raw[0] :]
+        size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)
+        if raw[:1] == bytes([table_id]) and size <= len(raw) and not section_crc(raw[:size]):
+            return raw[8 : size - 4]
+    raise ValueError(f"broken table on PID {pid}")
+
+
+def _descriptors(data: bytes) -> dict[int, bytes]:
+    out, at = {}, 0
+    while at + 2 <= len(data):
+        out[data[at]] = data[at + 2 : at + 2 + data[at + 1]]
+        at += 2 + data[at + 1]
+    return out
+
+
+def _checked(packets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rows without repeated packets, jumps of the counter): rows are the payload packets of one PID, in order.
+
+    A packet may come twice in a row, the same in every byte but the clock reference; a flagged discontinuity may jump."""
+    counters, before = (packets[rows[1:], 3] & 15).astype(np.int64), (packets[rows[:-1], 3] & 15).astype(np.int64)
+    twice = np.zeros(len(rows), bool)
+    for i in np.flatnonzero(counters == before):
+        twice[i + 1] = not twice[i] and bool((packets[rows[i], 12:] == packets[rows[i + 1], 12:]).all())
+    kept = rows[~twice]
+    step = np.diff((packets[kept, 3] & 15).astype(np.int64)) % 16
+    flagged = (packets[kept, 3] & 0x20 > 0) & (packets[kept, 4] > 0) & (packets[kept, 5] & 0x80 > 0)
+    return kept, int(((step != 1) & ~flagged[1:]).sum())
 
 
 def demux(media: bytes) -> dict:
-    """payload, pts (list), point_pts and point_packets (lists), continuity_errors, packets of a stream of mux()'s kind."""
+    """What a stream of mux()'s kind holds: payload, pts, point_pts and point_packets (lists), packets, and its faults:
+
+    continuity_errors (jumps of any PID's counter), repeated_packets, length_errors (PES packets with more or fewer bytes
+    than their length says, and runs of bytes before the first one), missing_units (by timestamps and the descriptor) and
+    missing_bytes (of the payload that the descriptor promises)."""
+    if not media or len(media) % PACKET:
+        raise ValueError("not whole packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if not len(packets) or (packets[:, 0] != SYNC).any():
+    if (packets[:, 0] != SYNC).any():
         raise ValueError("out of sync")
-    programs = _parse_section(packets, PAT_PID, 0)
-    map_pid = next(int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs), 4) if programs[i : i + 2] != b"\0\0")
-    table = _parse_section(packets, map_pid, 2)
+    pids = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
+    programs = _section_of(packets, pids, PAT_PID, 0)
+    map_pid = next((int.from_bytes(programs[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(programs), 4) if programs[i : i + 2] != b"\0\0"), None)
+    if map_pid is None:
+        raise ValueError("no program")
+    table = _section_of(packets, pids, map_pid, 2)
     at = 4 + (int.from_bytes(table[2:4], "big") & 0xFFF)
     if at + 5 > len(table):
         raise ValueError("no elementary stream")
     es_pid = int.from_bytes(table[at + 1 : at + 3], "big") & 0x1FFF
-    pids = (packets[:, 1] & 0x1F).astype(np.int64) << 8 | packets[:, 2]
-    rows = np.flatnonzero((pids == es_pid) & (packets[:, 3] & 0x10 > 0))
+    own = _descriptors(table[4:at]).get(DESCRIPTOR_TAG, b"")
+    size, units, ticks = (int.from_bytes(own[i:j], "big") for i, j in ((0, 8), (8, 12), (12, 16)))
+    errors = repeated = 0
+    for pid in (PAT_PID, map_pid, es_pid):
+        every = np.flatnonzero((pids == pid) & (packets[:, 3] & 0x10 > 0))
+        rows, jumps = _checked(packets, every)
+        errors, repeated = errors + jumps, repeated + len(every) - len(rows)
     es = packets[rows]
-    counters = (es[:, 3] & 15).astype(np.int64)
-    errors = int(((np.diff(counters) - 1) % 16 != 0).sum())
     adapt = np.where(es[:, 3] & 0x20 > 0, es[:, 4].astype(np.int64) + 1, 0)
     carried = 184 - adapt
     data = es[np.arange(PACKET)[None, :] >= PACKET - carried[:, None]]
     begin = es[:, 1] & 0x40 > 0
     starts = (np.cumsum(carried) - carried)[begin]
-    heads = data[starts[:, None] + np.arange(PES_HEADER)].astype(np.int64)
+    sizes = np.diff(np.append(starts, len(data)))
+    if (sizes < PES_HEADER).any():
+        raise ValueError("a PES packet ends within its header")
+    heads = data[starts[:, None] + np.arange(PES_HEADER)].astype(np.int64).reshape(-1, PES_HEADER)
     if (heads[:, :3] != (0, 0, 1)).any():
-        raise ValueError("an elementary packet has no start code")
+        raise ValueError("a PES packet has no start code")
+    orphans = int(starts[0]) if len(starts) else len(data)
+    lengths = (heads[:, 4] << 8 | heads[:, 5]) + 6
     pts = (heads[:, 9] >> 1 & 7) << 30 | heads[:, 10] << 22 | (heads[:, 11] >> 1) << 15 | heads[:, 12] << 7 | heads[:, 13] >> 1
     keep = np.ones(len(data), bool)
+    keep[:orphans] = False
     for extra in np.unique(heads[:, 8]):
         keep[starts[heads[:, 8] == extra][:, None] + np.arange(9 + int(extra))] = False
     point = (adapt > 1) & (es[:, 5] & 0x40 > 0) & begin
+    payload = data[keep].tobytes()
+    gaps = int(np.maximum(np.diff(pts) // ticks - 1, 0).sum()) if ticks else 0
     return {
-        "payload": data[keep].tobytes(), "pts": pts.tolist(), "point_pts": pts[point[begin]].tolist(), "point_packets": rows[point].tolist(),
-        "continuity_errors": errors, "packets": len(packets),
+        "payload": payload, "pts": pts.tolist(), "point_pts": pts[point[begin]].tolist(), "point_packets": rows[point].tolist(), "packets": len(packets),
+        "continuity_errors": errors, "repeated_packets": repeated, "length_errors": int((sizes != lengths).sum()) + (orphans > 0),
+        "missing_units": max(gaps, units - len(pts)), "missing_bytes": max(0, size - len(payload)),
     }
 
 
@@ -193,9 +247,11 @@ def store_media(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return map_texts(docs, lambda: kernel, "n_bytes long, media binary", [c for c in docs.columns if c not in (text, "n_bytes", "media")], text)
 
 
+FAULTS = ["continuity_errors", "repeated_packets", "length_errors", "missing_units", "missing_bytes"]
 FEATURES = (
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "n_packets long, continuity_errors long, pts array<long>, point_pts array<long>, point_packets array<long>"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, "
+    + ", ".join(f"{f} long" for f in FAULTS)
+    + ", pts array<long>, point_pts array<long>, point_packets array<long>, error string"
 )
 
 
@@ -209,14 +265,19 @@ def read_media(media: DataFrame) -> DataFrame:
 
     out = to_arrow_schema(schema)
 
-    def parse(media: bytes) -> dict:
-        got = demux(media)
+    def parse(media: bytes | None) -> dict:
+        if media is None:
+            return {"error": "no media"}
+        stored = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+        try:
+            got = demux(media)
+        except ValueError as e:
+            return stored | {"error": str(e)}
         payload, pts = got["payload"], got["pts"]
-        return {
-            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
-            "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "n_packets": got["packets"],
-            "continuity_errors": got["continuity_errors"], "pts": pts, "point_pts": got["point_pts"], "point_packets": got["point_packets"],
-            "feature": f"packets={got['packets']} units={len(pts)} points={len(got['point_pts'])} errors={got['continuity_errors']} pts={pts[0]}-{pts[-1]}",
+        faults = sum(got[f] > 0 for f in FAULTS)
+        return stored | {n: got[n] for n in (*FAULTS, "pts", "point_pts", "point_packets")} | {
+            "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "n_packets": got["packets"],
+            "feature": f"packets={got['packets']} units={len(pts)} points={len(got['point_pts'])} faults={faults} pts={min(pts, default=0)}-{max(pts, default=0)}",
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +286,7 @@ def read_media(media: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 rows = [parse(x.as_py()) for x in column.slice(start, 500)]
                 arrays = [batch.column(i).slice(start, len(rows)) for i in range(batch.num_columns - 1)]
-                arrays += [pa.array([r[n] for r in rows], out.field(n).type) for n in added.names]
+                arrays += [pa.array([r.get(n) for r in rows], out.field(n).type) for n in added.names]
                 yield pa.RecordBatch.from_arrays([a.cast(out.field(i).type) if a.type != out.field(i).type else a for i, a in enumerate(arrays)], schema=out)
 
     return media.select(*keep, "media").mapInArrow(run, schema)
@@ -233,4 +294,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = settle(store_media(documents(spark, sf_dir).select("doc_id", "text")), "media")
-    return read_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets", "continuity_errors")
+    return read_media(stored).select("doc_id", "n_bytes", *[f.split()[0] for f in FEATURES.split(", ")])

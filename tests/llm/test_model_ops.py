@@ -1,7 +1,9 @@
 """Language ID, quality model, transport streams, near-duplicates and the pipeline."""
 
+import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -26,13 +28,49 @@ def test_transport_round_trip(n):
         assert packets[at, 5] & 0x40 and pts in got["pts"]
 
 
-def test_transport_reports_losses_and_rejects_broken_tables():
-    media = np.frombuffer(transport.mux(transport.pad(bytes(50_000))), np.uint8).reshape(-1, 188)
-    assert transport.demux(np.delete(media, 20, 0).tobytes())["continuity_errors"] == 1
+def test_transport_reports_losses_and_rejects_broken_tables(spark):
+    payload = transport.pad(random.Random(1).randbytes(50_000))
+    media = np.frombuffer(transport.mux(payload), np.uint8).reshape(-1, 188)
+    pids = (media[:, 1] & 0x1F).astype(int) << 8 | media[:, 2]
+    es = np.flatnonzero(pids == transport.ES_PID)
+    starts = es[media[es, 1] & 0x40 > 0]
+    faults = lambda m: {f: v for f, v in transport.demux(m.tobytes()).items() if f in transport.FAULTS and v}
+    assert faults(media) == {}
+    without = lambda rows: faults(np.delete(media, rows, 0))
+    assert without(20)["continuity_errors"] == 1 and without(20)["length_errors"] == 1
+    assert without(es[0])["length_errors"] == 1 and without(es[0])["missing_units"] == 1
+    assert without(es[-1])["length_errors"] == 1 and without(es[-1])["missing_bytes"] > 0
+    first = es[es < starts[1]]
+    assert without(first)["missing_units"] == 1 and without(first)["missing_bytes"] == transport.UNIT
+    within = es[(es >= starts[2] + 3)][:16]  # the counter comes round
+    assert without(within)["missing_units"] == 1 and without(within)["missing_bytes"] == transport.UNIT
+    middle = es[(es >= starts[2]) & (es < starts[3])]
+    assert without(middle)["missing_units"] == 1
+    tables = np.flatnonzero(pids == transport.PMT_PID)
+    assert without(tables[1])["continuity_errors"] == 1 and set(without(tables[1])) == {"continuity_errors"}
+    twice = np.insert(media, 20, media[20], 0)
+    assert faults(twice) == {"repeated_packets": 1} and transport.demux(twice.tobytes())["payload"] == payload
     broken = media.copy()
-    broken[0, 12] ^= 1
+    broken[tables, 20] ^= 1
     with pytest.raises(ValueError, match="broken table"):
         transport.demux(broken.tobytes())
+    rows = [(1, media.tobytes()), (2, None), (3, broken.tobytes()), (4, b"G" * 187), (5, b"")]
+    got = {r["id"]: r for r in transport.read_media(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == len(payload) and got[1]["point_pts"] and len(got[1]["point_pts"]) == len(got[1]["point_packets"])
+    assert [got[i]["error"] for i in (2, 4, 5)] == ["no media", "not whole packets", "not whole packets"] and "broken table" in got[3]["error"]
+
+
+def test_transport_contract(odd):
+    """The contract's columns against hashlib and zlib, with null, empty and long texts."""
+    rows = transport.read_media(transport.store_media(odd.withColumn("body", odd["text"]))).collect()
+    for r in rows:
+        raw = (r["body"] or "").encode()
+        want = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(want[-32:]) and r["error"] is None and all(r[f] == 0 for f in transport.FAULTS)
+        media = transport.mux(want)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert len(r["pts"]) == -(-len(want) // transport.UNIT) and set(r["point_pts"]) == set(r["pts"][:: transport.UNITS_PER_POINT])
 
 
 def test_odd_tables(odd, empty):
