@@ -6,7 +6,7 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def json_hash(value: Any) -> str:
     return hashlib.sha256(canonical_json(value)).hexdigest()
 
 
+def file_hash(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of each file below path, hashed where it is read. A file is one row's bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """SHA-256 of a row's values by column name; null and the empty string differ."""
     names = sorted(columns or df.columns)

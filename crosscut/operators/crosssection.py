@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.timeseries import ratio
+from ..materialize import settled
 
 
 def winsor_z(df: DataFrame, features: list[str] | tuple[str, ...], by: str = "session_date", *, min_n: int = config.MIN_CROSS_SECTION, bounds: tuple[float, float] = config.WINSOR, negative: tuple[str, ...] = config.NEGATIVE) -> DataFrame:
@@ -104,9 +105,11 @@ def signal_summary(daily: DataFrame, *keys: str) -> DataFrame:
 
 
 def mean_correlations(df: DataFrame, columns: list[str], by: str = "session_date", *, min_n: int = config.MIN_CROSS_SECTION) -> DataFrame:
-    """(a, b, correlation): per-date Pearson over rows complete in all columns, averaged over dates with min_n rows."""
-    # the exchange keeps the columns' own expressions from being copied into every pair
-    df = df.dropna(subset=columns).select(by, *columns).repartition(by)
+    """(a, b, correlation): per-date Pearson over rows complete in all columns, averaged over dates with min_n rows.
+
+    The columns are written and read back first: their own expressions, often windows, would be copied into every pair
+    and into what the optimizer infers from the filter."""
+    df = settled(df.select(by, *columns), "correlated").dropna(subset=columns)
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(columns) for b in columns[i:]]
     long = df.select(by, F.explode(F.array(*pairs)).alias("e")).select(by, "e.*")
     spread = F.stddev_pop("x") * F.stddev_pop("y")

@@ -109,8 +109,19 @@ def bars_of_payloads(payloads: DataFrame) -> DataFrame:
     return flat.select(F.timestamp_millis("c.datetime").alias("timestamp"), "symbol", *[F.col(f"c.{c}").cast("double").alias(c) for c in (*PRICES, "volume")], "seq")
 
 
+def quarantined_payloads(payloads: DataFrame, dates: tuple[str, ...] = config.QUARANTINE_DATES) -> tuple[DataFrame, DataFrame]:
+    """(bars, quarantined) of nested candle payloads: what quarantine() keeps, and the broken bars of approved dates.
+
+    A broken bar on another date fails the run when rows are computed."""
+    state = quarantine(normalize_bars(bars_of_payloads(payloads)), dates)
+    refused = F.raise_error(F.concat(F.lit("broken bar on a date that is not approved: "), F.col("symbol")))
+    state = state.withColumn("state", F.when(F.col("state") != "rejected", F.col("state")).otherwise(refused))
+    return state.filter("state = 'kept'").drop("state"), state.filter("state = 'quarantined'").drop("state")
+
+
 def provider_symbol(symbol: Column, separator: str) -> Column:
-    """A vendor's spelling: class shares after a dash or a slash instead of a dot."""
+    """A vendor's spelling: class shares after a dash or a slash instead of a dot; an empty symbol fails the run."""
+    symbol = F.when(F.trim(symbol) == "", F.raise_error(F.lit("empty symbol"))).otherwise(symbol)
     return F.replace(F.upper(F.trim(symbol)), F.lit("."), F.lit(separator))
 
 

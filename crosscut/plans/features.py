@@ -80,11 +80,28 @@ def relative_features(features: DataFrame, benchmarks: DataFrame, sectors: DataF
 
 
 def feature_frame(bars: DataFrame, universe: DataFrame, benchmarks: DataFrame, sectors: DataFrame, *, method: str = "kernel") -> DataFrame:
-    """All 37 features of the universe's symbols (universe: symbol, sector)."""
-    df = core_features(bars, method=method).join(universe.select("symbol", "sector"), "symbol")
+    """All 37 features of the bars' symbols (universe: symbol, sector).
+
+    A symbol that the universe lacks fails the run when its rows are computed, a sector without benchmark at once."""
+    require_known_sectors(universe, sectors)
+    known = universe.select("symbol", "sector", F.lit(True).alias("__known"))
+    df = core_features(bars, method=method).join(known, "symbol", "left")
+    unknown = F.raise_error(F.concat(F.lit("not in the universe: "), F.col("symbol")))
+    df = df.withColumn("sector", F.when(F.col("__known"), F.col("sector")).otherwise(unknown)).drop("__known")
     return relative_features(df, benchmarks, sectors)
 
 
+def with_benchmark_names(features: DataFrame, names: dict[str, str] = config.SECTOR_BENCHMARKS) -> DataFrame:
+    """features with sector_benchmark, the symbol of the fund that stands for a row's sector; null for other sectors."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return features.withColumn("sector_benchmark", F.try_element_at(F.create_map(*pairs), F.col("sector")))
+
+
+def reference_symbols(portfolio: tuple[str, ...] = config.PORTFOLIO_REFERENCES, sectors: dict[str, str] = config.SECTOR_BENCHMARKS) -> list[str]:
+    """All symbols that features refer to, each once, portfolio references first."""
+    return list(dict.fromkeys([x.upper() for x in portfolio] + list(sectors.values())))
+
+
 def require_known_sectors(universe: DataFrame, known: DataFrame) -> DataFrame:
     """universe; raises for sectors without a benchmark."""
     if odd := [r["sector"] for r in universe.join(known, "sector", "left_anti").select("sector").distinct().limit(5).collect()]:

@@ -113,6 +113,12 @@ def walk_forward(daily: DataFrame, weights: DataFrame, *, start: int = config.MI
     return best.join(tested, "fold").join(F.broadcast(weights), "candidate_id").drop("slot")
 
 
+def walk_forward_summary(walk: DataFrame) -> DataFrame:
+    """One row: folds, and the means over them of the out-of-sample metrics and of the chosen weights."""
+    means = ["test_mean_rank_ic", "test_median_rank_ic", "test_mean_spread", "test_mean_turnover", "test_positive_spread_rate", "test_objective", *[f"w_{g}" for g in GROUP_NAMES]]
+    return walk.agg(F.count(F.lit(1)).alias("folds"), *[F.avg(m).alias(m) for m in means])
+
+
 def optimized_weights(penalized: DataFrame, ic_only: DataFrame) -> DataFrame:
     """(fold, model, w_<group>...): the weights that walk_forward chose in each fold, by its objective and by rank IC alone."""
     ws = [f"w_{g}" for g in GROUP_NAMES]
@@ -156,11 +162,6 @@ def momentum_signals(panel: DataFrame, *, min_n: int = config.MIN_CROSS_SECTION)
     return winsor_z(panel.withColumns(ex), list(ex), min_n=min_n, negative=())
 
 
-def compact_alpha(panel: DataFrame, a: str, b: str, name: str = "compact_alpha") -> DataFrame:
-    """Mean of two percentile ranks by date."""
-    return panel.withColumns({"__pa": percentile_rank(a, "session_date"), "__pb": percentile_rank(b, "session_date")}).withColumn(name, (F.col("__pa") + F.col("__pb")) / 2).drop("__pa", "__pb")
-
-
 def compact_candidates(panel: DataFrame) -> DataFrame:
     """panel with the study's four candidates as percentile ranks by date: two momenta, the slow trend, and the blend
     (mean of the ranks of the momentum without the last month and of the trend)."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import row_hash
+from ..materialize import once, settled
 from ..operators import audit, crosssection, manifests, normalize
 from ..plans import features as feature_plans
 from ..plans import panel as panel_plans
@@ -34,7 +35,7 @@ def register(name: str, with_: str | None = None, select: str | None = None, **d
         QUERIES[name] = run
         if select:
             columns = ", ".join(c if d is None else f"round({c}, {d}) + 0.0 AS {c}" for c, d in digits.items())
-            ORACLE_SQL[name] = f"{'WITH ' + with_ if with_ else ''} SELECT {columns} FROM ({select})"
+            ORACLE_SQL[name] = f"{'WITH RECURSIVE ' + with_ if with_ else ''} SELECT {columns} FROM ({select})"
         return make
 
     return wrap
@@ -82,7 +83,7 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAW = """raw AS (
-  SELECT CAST(l_shipdate AS TIMESTAMP) AS ts, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, l_extendedprice AS open,
+  SELECT CAST(l_shipdate AS TIMESTAMP) AS ts, 'S' || lpad(CAST(l_suppkey AS VARCHAR), greatest(5, CAST(length(CAST(l_suppkey AS VARCHAR)) AS INTEGER)), '0') AS symbol, l_extendedprice AS open,
          l_extendedprice * CASE WHEN l_linenumber = 6 THEN 0.5 ELSE 1.5 END AS high, l_extendedprice * 0.5 AS low, l_extendedprice AS close,
          CASE WHEN l_linenumber = 5 THEN -l_quantity ELSE l_quantity END AS volume, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq
   FROM lineitem WHERE l_linenumber <> 7
@@ -137,7 +138,8 @@ def _(spark, sf):
     return df.select("symbol", normalize.provider_symbol(F.col("name"), "-").alias("dashed"), normalize.provider_symbol(F.col("name"), "/").alias("slashed"))
 
 
-@register("universe_validate", sql.SECURITIES, "SELECT sector, count(*) AS securities, 0::BIGINT AS duplicates, 0::BIGINT AS empty_symbols, 0::BIGINT AS mapped FROM securities GROUP BY sector", **columns("sector", "securities", "duplicates", "empty_symbols", "mapped"))
+@register("universe_validate", sql.SECURITIES, """SELECT sector, count(*) AS securities, CAST(count_if(copies > 1) AS BIGINT) AS duplicates, CAST(count_if(coalesce(trim(symbol), '') = '') AS BIGINT) AS empty_symbols,
+  CAST(count_if(symbol <> upper(trim(symbol))) AS BIGINT) AS mapped FROM (SELECT *, count(*) OVER (PARTITION BY upper(trim(symbol))) AS copies FROM securities) GROUP BY sector""", **columns("sector", "securities", "duplicates", "empty_symbols", "mapped"))
 def _(spark, sf):
     return normalize.universe_report(tables.securities(spark, sf))
 
@@ -188,6 +190,67 @@ def _(spark, sf):
     return manifests.reason_histogram(manifest(spark, sf))
 
 
+@register("manifest_hash", **columns("symbol", "status", "manifest_hash"))
+def _(spark, sf):
+    return manifests.with_manifest_hash(manifest(spark, sf))
+
+
+def with_violations(bars: DataFrame) -> DataFrame:
+    return normalize.violations(bars)
+
+
+HISTORY_MODES = ORACLE_SQL["history_resolution"].split(" SELECT symbol, mode, rows, first_session FROM (")[0]
+
+
+@register("manifest_history", HISTORY_MODES.removeprefix("WITH RECURSIVE ") + f""", {sql.SECURITIES}, chosen AS (SELECT bounded.symbol, ts, close, volume, mode FROM bounded JOIN m USING (symbol) WHERE mode <> 'unbounded_fallback_trimmed'
+  UNION ALL SELECT inside.symbol, ts, close, volume, mode FROM inside JOIN m USING (symbol) WHERE mode = 'unbounded_fallback_trimmed'
+), facts AS (SELECT symbol, mode, count(*) AS rows, arg_max(close, ts) AS latest, median(close * volume) FILTER (WHERE last_no <= 20) AS mdv FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS last_no FROM chosen) GROUP BY ALL)""",
+          """SELECT s.symbol, CASE WHEN rows IS NULL THEN 'error' ELSE 'ok' END AS status, coalesce(rows, 0) AS rows, mode, CASE WHEN rows IS NULL THEN 'market_data_error' WHEN rows < 100 THEN 'insufficient_history'
+  ELSE concat_ws('|', CASE WHEN latest < 20000 THEN 'price_below_minimum' END, CASE WHEN mdv < 1000000 THEN 'insufficient_dollar_volume' END) END AS reasons FROM securities s LEFT JOIN facts USING (symbol)""",
+          **columns("symbol", "status", "rows", "mode", "reasons"))
+def _(spark, sf):
+    bars = with_violations(tables.sparse_bars(spark, sf))
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("timestamp")))
+    bounded = bars.withColumn("back", back).filter("back <= 300 AND timestamp >= TIMESTAMP'2000-06-01'").drop("back")
+    got = manifests.history_manifest(tables.securities(spark, sf), bounded, bars, "1999-01-01", "2001-06-30", 105, **POLICY | {"min_rows": 100})
+    return got.withColumn("reasons", F.array_join("reasons", "|"))
+
+
+@register("reference_manifest", f"{sql.SPARSE}, {sql.SECURITIES}", """SELECT s.symbol, CASE WHEN n IS NULL OR broken THEN 'error' ELSE 'ok' END AS status, CASE WHEN n IS NULL THEN 'empty price history' WHEN broken THEN 'Invalid OHLC relationships' END AS error,
+  coalesce(n, 0) AS rows FROM securities s LEFT JOIN (SELECT symbol, count(*) AS n, substr(symbol, 5, 2) = '17' AS broken FROM sparse WHERE substr(symbol, 5, 2) <> '13' GROUP BY symbol) USING (symbol)""", **columns("symbol", "status", "error", "rows"))
+def _(spark, sf):
+    bars = with_violations(tables.sparse_bars(spark, sf).filter(F.substring("symbol", 5, 2) != "13"))
+    broken = F.when(F.substring("symbol", 5, 2) == "17", F.array(F.lit("ohlc"))).otherwise(F.col("violations"))
+    return manifests.reference_manifest(tables.securities(spark, sf), bars.withColumn("violations", broken))
+
+
+@register("eligible_bars", MANIFEST, "SELECT symbol, count(*) AS rows, sum(close) AS total FROM sparse JOIN manifest m USING (symbol) WHERE status = 'ok' AND eligible GROUP BY symbol", **columns("symbol", "rows", total=2))
+def _(spark, sf):
+    bars = manifests.eligible_bars(tables.sparse_bars(spark, sf), manifest(spark, sf))
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("total"))
+
+
+@register("invalid_dates", RAW, "SELECT session_date, count(*) AS bars, count(DISTINCT symbol) AS symbols FROM bars WHERE bad OR volume < 0 GROUP BY session_date", **columns("session_date", "bars", "symbols"))
+def _(spark, sf):
+    return manifests.invalid_dates(normalize.normalize_bars(raw_rows(spark, sf)))
+
+
+PAYLOAD_DATE = "1997-05-01"
+
+
+@register("payload_quarantine", f"{sql.SPARSE}, d AS (SELECT symbol, CAST(ts AS DATE) AS session_date, max(CAST(ts AS DATE) = DATE '{PAYLOAD_DATE}') OVER (PARTITION BY symbol) AS has FROM sparse)",
+          f"SELECT symbol, CASE WHEN session_date = DATE '{PAYLOAD_DATE}' THEN 'quarantined' ELSE 'kept' END AS side, count(*) AS rows FROM d GROUP BY ALL", **columns("symbol", "side", "rows"))
+def _(spark, sf):
+    """Candles of one approved date arrive broken."""
+    bars = tables.sparse_bars(spark, sf)
+    high = F.when(F.to_date("timestamp") == F.lit(PAYLOAD_DATE).cast("date"), F.col("low") / 2).otherwise(F.col("high")).alias("high")
+    candle = F.struct(F.unix_millis("timestamp").alias("datetime"), "open", high, "low", "close", "volume")
+    payloads = bars.groupBy("symbol").agg(F.lit(False).alias("empty"), F.collect_list(candle).alias("candles"))
+    kept, out = normalize.quarantined_payloads(settled(payloads, "payloads"), (PAYLOAD_DATE,))
+    count = lambda df, side: df.groupBy("symbol").agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("rows"))
+    return count(kept, "kept").unionByName(count(out, "quarantined"))
+
+
 @register("error_families", None, "SELECT family, count(*) AS errors FROM (SELECT CASE event_type WHEN 'error' THEN 'http_429_rate_limit' WHEN 'click' THEN 'invalid_ohlc' WHEN 'view' THEN 'empty_history' ELSE event_type END AS family FROM events) GROUP BY family", **columns("family", "errors"))
 def _(spark, sf):
     kind = F.col("event_type")
@@ -200,7 +263,7 @@ def _(spark, sf):
     return by_session(audit.bad_row_context(normalize.normalize_bars(raw_rows(spark, sf))))
 
 
-@register("history_diagnosis", RAW, "SELECT symbol, count(*) AS rows, 0::BIGINT AS null_rows, CAST(count_if(bad) AS BIGINT) AS invalid_rows, min(session_date) AS first, max(session_date) AS last FROM bars GROUP BY symbol", **columns("symbol", "rows", "null_rows", "invalid_rows", "first", "last"))
+@register("history_diagnosis", RAW, "SELECT symbol, count(*) AS rows, CAST(count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS BIGINT) AS null_rows, CAST(count_if(bad) AS BIGINT) AS invalid_rows, min(session_date) AS first, max(session_date) AS last FROM bars GROUP BY symbol", **columns("symbol", "rows", "null_rows", "invalid_rows", "first", "last"))
 def _(spark, sf):
     df = audit.null_rows(normalize.normalize_bars(raw_rows(spark, sf)))
     return df.withColumns({"first": F.to_date("first"), "last": F.to_date("last")})
@@ -224,11 +287,11 @@ def _(spark, sf):
 
 
 def core(spark: SparkSession, sf: str) -> DataFrame:
-    return by_session(feature_plans.core_features(tables.dense_bars(spark, sf), method=tables.ewm_method(spark, sf)))
+    return by_session(feature_plans.core_features(tables.bars(spark, sf), method=tables.ewm_method(spark, sf)))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
-    bars, universe = tables.dense_bars(spark, sf), tables.securities(spark, sf)
+    bars, universe = tables.bars(spark, sf), tables.securities(spark, sf)
     return feature_plans.feature_frame(bars, universe, tables.benchmarks(bars), tables.sector_benchmarks(bars, universe), method=tables.ewm_method(spark, sf))
 
 
@@ -256,7 +319,8 @@ RELATIVE_QUERIES = {
 for _name, _digits in RELATIVE_QUERIES.items():
     register(_name, sql.features(), "SELECT *, CAST(ts AS DATE) AS session_date FROM features", **columns(*KEYS), **_digits)(lambda spark, sf: by_session(features(spark, sf)))
 
-FRAME = columns("sector") | {f: {"median_dollar_volume_20d": 4}.get(f, 3) if f in ("atr_14", "median_dollar_volume_20d") else 1 if f in [f"ema_{n}" for n in config.EMA_SPANS] else 3 for f in config.FEATURES}
+FRAME_DIGITS = {f"ema_{n}": 2 for n in config.EMA_SPANS} | {"rsi_14": 4, "atr_14": 3, "median_dollar_volume_20d": 4, "relative_volume_20d": 4, "beta_spy_60d": 4}
+FRAME = columns("sector") | {f: FRAME_DIGITS.get(f, 5) for f in config.FEATURES}
 register("latest_snapshot", sql.features(), "SELECT *, CAST(ts AS DATE) AS session_date FROM features QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1", **columns(*KEYS), **FRAME)(
     lambda spark, sf: by_session(feature_plans.latest_rows(features(spark, sf)))
 )
@@ -276,7 +340,7 @@ def _(spark, sf):
 @register("feature_parity", None, " UNION ALL ".join(f"SELECT '{f}' AS feature, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS comparisons, 0::BIGINT AS failures" for f in config.FEATURES), **columns("feature", "comparisons", "failures"))
 def _(spark, sf):
     """Window functions throughout against the pandas kernel for the recursive averages, at each symbol's last row."""
-    bars, universe = tables.dense_bars(spark, sf), tables.securities(spark, sf)
+    bars, universe = tables.bars(spark, sf), tables.securities(spark, sf)
     frames = [feature_plans.latest_rows(feature_plans.feature_frame(bars, universe, tables.benchmarks(bars), tables.sector_benchmarks(bars, universe), method=m)) for m in ("closed", "kernel")]
     return audit.parity(*frames, config.FEATURES)
 
@@ -294,18 +358,20 @@ register("scoring_flags", sql.features(), f"SELECT symbol, CAST({sql.MISSING} AS
 
 @register("forward_returns", f"{sql.DENSE}, f AS (SELECT symbol, CAST(ts AS DATE) AS session_date, {', '.join(f'lead(close, {h}) {sql.W} / nullif(close, 0) - 1 AS forward_return_{h}d, CAST(lead(ts, {h}) {sql.W} AS DATE) AS forward_end_{h}d' for h in config.HORIZONS)} FROM dense)", "SELECT * FROM f", **columns(*KEYS, *[f"forward_end_{h}d" for h in config.HORIZONS]), **columns(*[f"forward_return_{h}d" for h in config.HORIZONS], digits=5))
 def _(spark, sf):
-    df = panel_plans.forward_labels(tables.dense_bars(spark, sf))
+    df = panel_plans.forward_labels(tables.bars(spark, sf))
     return by_session(df).withColumns({f"forward_end_{h}d": F.to_date(f"forward_end_{h}d") for h in config.HORIZONS})
 
 
 @register("weekly_sample", f"{sql.DENSE}, w AS (SELECT *, CAST(ts AS DATE) AS session_date, {sql.FRIDAY} AS week FROM dense QUALIFY row_number() OVER (PARTITION BY symbol, week ORDER BY ts DESC) = 1)", "SELECT * FROM w", **columns(*KEYS, close=2))
 def _(spark, sf):
-    return panel_plans.weekly(tables.dense_bars(spark, sf))
+    return panel_plans.weekly(tables.bars(spark, sf))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Group scores are rounded, so that ties don't hang on the last bit of either engine."""
-    return panel_plans.scoring_panel(features(spark, sf)).withColumns({f"group_{g}": F.round(f"group_{g}", 9) for g in config.GROUPS})
+    """The weekly panel, written once in an application. Group scores are rounded, so that ties don't hang on the last
+    bit of either engine."""
+    make = lambda: panel_plans.scoring_panel(features(spark, sf)).withColumns({f"group_{g}": F.round(f"group_{g}", 9) for g in config.GROUPS})
+    return once(spark, "panel", [f"{sf}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], make)
 
 
 GROUP_COLUMNS = [f"group_{g}" for g in config.GROUPS]
@@ -375,13 +441,16 @@ def walk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("walk_forward_folds", sql.walk_forward(2), "SELECT * FROM walk", **WALK)(walk)
+WALK_MEANS = [f"test_{m}" for m in SUMMARY_COLUMNS] + WEIGHTS
+register("walk_forward_summary", sql.walk_forward(2), f"SELECT count(*) AS folds, {', '.join(f'avg({m}) AS {m}' for m in WALK_MEANS)} FROM walk", **columns("folds"), **columns(*WALK_MEANS, digits=5))(
+    lambda spark, sf: research.walk_forward_summary(walk(spark, sf))
+)
 
 
 @register("walk_forward_full_grid", **WALK)
 def _(spark, sf):
     """All 1001 candidates by the matrix kernel."""
-    weights = research.weight_grid(spark)
-    return research.walk_forward(research.grid_daily_kernel(complete(spark, sf), weights), weights).withColumn("fold", F.col("fold").cast("long"))
+    return research.walk_forward(full_daily(spark, sf), research.weight_grid(spark)).withColumn("fold", F.col("fold").cast("long"))
 
 
 @register("embargo_train_dates", sql.walk_forward(2), "SELECT slot, test_start, count(DISTINCT session_date) AS train_dates, max(session_date) AS last_train FROM train GROUP BY ALL", **columns("slot", "test_start", "train_dates", "last_train"))
@@ -397,25 +466,33 @@ register("ic_only_pick", IC_PICK, "SELECT * FROM walk", **WALK)(
 )
 
 register("candidate_grid_full_grid", **columns("session_date", "candidate_id", "n", "ended"), **columns("rank_ic", "top_bottom_spread", "turnover", digits=5))(
-    lambda spark, sf: research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)).withColumn("ended", F.to_date("label_end"))
+    lambda spark, sf: full_daily(spark, sf).withColumn("ended", F.to_date("label_end"))
 )
 register("candidate_aggregate_full_grid", **columns("candidate_id"), **SUMMARY_COLUMNS)(
-    lambda spark, sf: crosssection.metric_summary(research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)), "candidate_id")
+    lambda spark, sf: crosssection.metric_summary(full_daily(spark, sf), "candidate_id")
 )
 register("ic_only_pick_full_grid", **WALK)(
-    lambda spark, sf: research.walk_forward(research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)), research.weight_grid(spark), order=("mean_rank_ic", "mean_spread")).withColumn("fold", F.col("fold").cast("long"))
+    lambda spark, sf: research.walk_forward(full_daily(spark, sf), research.weight_grid(spark), order=("mean_rank_ic", "mean_spread")).withColumn("fold", F.col("fold").cast("long"))
 )
 
 K = len(config.GROUPS)
 MODELS = "models AS (" + " UNION ALL ".join(
     [f"SELECT 'equal_weight' AS model, {', '.join(f'{1 / K!r} AS w_{g}' for g in config.GROUPS)}"] + [f"SELECT '{g}_only', {', '.join('1.0' if x == g else '0.0' for x in config.GROUPS)}" for g in config.GROUPS]
 ) + ")"
-BASE = f"""{sql.walk_forward(2)}, {MODELS}, base_rows AS (SELECT fold, model, session_date, symbol, forward_return_20d, {sql.SCORE} AS score FROM panel JOIN best ON session_date BETWEEN test_start AND test_end, models
+CHOSEN = " UNION ALL ".join(f"SELECT fold, 'optimized_{n}' AS model, {', '.join(WEIGHTS)} FROM {t} JOIN candidates USING (candidate_id)" for n, t in (("penalized", "best"), ("ic_only", "best_ic")))
+BASE = f"""{sql.walk_forward(2)}, {MODELS}, all_models AS (SELECT fold, model, {', '.join(WEIGHTS)} FROM best, models UNION ALL {CHOSEN}
+), base_rows AS (SELECT fold, model, session_date, symbol, forward_return_20d, {sql.SCORE} AS score FROM panel JOIN best ON session_date BETWEEN test_start AND test_end JOIN all_models USING (fold)
   WHERE scoring_complete AND forward_return_20d IS NOT NULL), {sql.signal_daily('base_rows', 'base_daily', 'score', 'forward_return_20d', 'fold, model')}, base AS (SELECT fold, model, {sql.SUMMARY} FROM base_daily GROUP BY fold, model)"""
 
 
+def compared(spark: SparkSession, sf: str, daily: DataFrame, weights: DataFrame) -> DataFrame:
+    """The six fixed models, and in each fold the grid's picks by the penalised objective and by IC alone."""
+    penalized, ic_only = (research.walk_forward(daily, weights, order=o).withColumn("fold", F.col("fold").cast("long")) for o in (("objective", "mean_rank_ic", "mean_spread"), ("mean_rank_ic", "mean_spread")))
+    return research.baseline_comparison(panel(spark, sf), penalized, research.baseline_weights(spark), research.optimized_weights(penalized, ic_only))
+
+
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return research.baseline_comparison(panel(spark, sf), walk(spark, sf), research.baseline_weights(spark))
+    return compared(spark, sf, settled(coarse_daily(spark, sf), "daily"), research.weight_grid(spark, 0.5))
 
 
 register("baseline_comparison", BASE, "SELECT * FROM base", **columns("fold", "model"), **SUMMARY_COLUMNS)(comparison)
@@ -428,15 +505,13 @@ register("baseline_summary", BASE, """SELECT model, count(DISTINCT fold) AS fold
 
 
 def full_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """All 1001 candidates by the matrix kernel, kept for the plans that read it more than once (a row a date and candidate)."""
-    return research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark)).persist()
+    """All 1001 candidates by the matrix kernel, written once (a row a date and candidate)."""
+    make = lambda: research.grid_daily_kernel(complete(spark, sf), research.weight_grid(spark))
+    return once(spark, "grid", [f"{sf}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")], make)
 
 
 def full_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """The six fixed models, and in each fold the picks of the full grid by the penalised objective and by IC alone."""
-    d, weights = full_daily(spark, sf), research.weight_grid(spark)
-    penalized, ic_only = (research.walk_forward(d, weights, order=o).withColumn("fold", F.col("fold").cast("long")) for o in (("objective", "mean_rank_ic", "mean_spread"), ("mean_rank_ic", "mean_spread")))
-    return research.baseline_comparison(panel(spark, sf), penalized, research.baseline_weights(spark), research.optimized_weights(penalized, ic_only))
+    return compared(spark, sf, full_daily(spark, sf), research.weight_grid(spark))
 
 
 register("baseline_comparison_full_grid", **columns("fold", "model"), **SUMMARY_COLUMNS)(full_comparison)
@@ -489,30 +564,6 @@ register("momentum_ex20", diagnosis(MOMENTUM, "m", MOMENTUM_SIGNALS), f"SELECT s
 )
 
 PCT = lambda x: f"CASE WHEN {x} IS NOT NULL THEN ({sql.rank_of(x, 'session_date')}) / CAST(count({x}) OVER (PARTITION BY session_date) AS DOUBLE) END"
-COMPACT = f"{MOMENTUM}, compact AS (SELECT *, ({PCT('z_momentum_252d_ex_20d')} + {PCT('z_volatility_60d')}) / 2 AS compact_alpha FROM m)"
-
-
-def compact(spark: SparkSession, sf: str) -> DataFrame:
-    df = research.momentum_signals(crosssection.winsor_z(panel(spark, sf), ["volatility_60d"]))
-    return research.compact_alpha(df, "z_momentum_252d_ex_20d", "z_volatility_60d")
-
-
-register("compact_alpha", COMPACT, "SELECT * FROM compact", **columns(*KEYS, compact_alpha=5))(compact)
-register("compact_candidates", diagnosis(COMPACT, "compact", ["compact_alpha"]), f"SELECT signal, horizon, {sql.DIAGNOSIS} FROM daily GROUP BY signal, horizon", **columns("signal", "horizon"), **DIAGNOSIS)(
-    lambda spark, sf: diagnose(compact(spark, sf), ["compact_alpha"])
-)
-COMPACT_FOLDS = f"""{sql.walk_forward(2)}, {COMPACT.removeprefix(sql.panel() + ', ')}, in_folds AS (SELECT fold, horizon, session_date, symbol, value, label FROM ({' UNION ALL '.join(f'SELECT session_date, symbol, CAST({h} AS INTEGER) AS horizon, round(compact_alpha, 9) AS value, forward_return_{h}d AS label FROM compact' for h in config.HORIZONS)}) JOIN best ON session_date BETWEEN test_start AND test_end),
-{sql.signal_daily('in_folds', 'fold_daily', 'value', 'label', 'fold, horizon')}"""
-
-
-@register("compact_by_fold", COMPACT_FOLDS, f"SELECT fold, horizon, {sql.SUMMARY} FROM fold_daily GROUP BY fold, horizon", **columns("fold", "horizon"), **SUMMARY_COLUMNS)
-def _(spark, sf):
-    pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"forward_return_{h}d").alias("label")) for h in config.HORIZONS]))
-    long = compact(spark, sf).select("session_date", "symbol", F.round("compact_alpha", 9).alias("value"), pairs.alias("e")).select("session_date", "symbol", "value", "e.*")
-    folds = walk(spark, sf).select("fold", "test_start", "test_end")
-    rows = long.join(F.broadcast(folds), F.col("session_date").between(F.col("test_start"), F.col("test_end")))  # a row a fold
-    return crosssection.metric_summary(crosssection.signal_metrics(rows, "value", "label", keys=("fold", "horizon")), "fold", "horizon")
-
 
 LEGS = ["rank_momentum_252d_ex_20d", "rank_ema_50_to_200"]
 STUDY = f"""{MOMENTUM}, v AS (SELECT *, {', '.join(f'round({x}, 9) AS v_{x}' for x in ('return_252d', 'momentum_252d_ex_20d', 'ema_50_to_200'))} FROM m
@@ -528,9 +579,9 @@ def study(spark: SparkSession, sf: str) -> DataFrame:
     return research.compact_study(research.compact_candidates(panel(spark, sf)), walk(spark, sf))
 
 
-register("compact_study_ranks", STUDY, "SELECT * FROM study", **columns(*KEYS), **columns(*research.COMPACT_CANDIDATES.values(), digits=5))(lambda spark, sf: research.compact_candidates(panel(spark, sf)))
-register("compact_study_by_fold", STUDY_FOLDS, "SELECT * FROM by_fold", **columns("fold", "candidate", "horizon"), **DIAGNOSIS)(study)
-register("compact_study_summary", STUDY_FOLDS, f"SELECT horizon, candidate, count(DISTINCT fold) AS folds, {', '.join(f'avg({m}) AS {m}' for m in STUDY_MEANS)} FROM by_fold GROUP BY horizon, candidate", **columns("horizon", "candidate", "folds"), **columns(*STUDY_MEANS, digits=5))(
+register("compact_alpha", STUDY, "SELECT * FROM study", **columns(*KEYS), **columns(*research.COMPACT_CANDIDATES.values(), digits=5))(lambda spark, sf: research.compact_candidates(panel(spark, sf)))
+register("compact_by_fold", STUDY_FOLDS, "SELECT * FROM by_fold", **columns("fold", "candidate", "horizon"), **DIAGNOSIS)(study)
+register("compact_candidates", STUDY_FOLDS, f"SELECT horizon, candidate, count(DISTINCT fold) AS folds, {', '.join(f'avg({m}) AS {m}' for m in STUDY_MEANS)} FROM by_fold GROUP BY horizon, candidate", **columns("horizon", "candidate", "folds"), **columns(*STUDY_MEANS, digits=5))(
     lambda spark, sf: research.compact_study_summary(study(spark, sf))
 )
 register("compact_leg_correlation", f"{STUDY}, cd AS (SELECT covar_pop({', '.join(LEGS)}) / nullif(stddev_pop({LEGS[0]}) * stddev_pop({LEGS[1]}), 0) AS c FROM study WHERE {' AND '.join(f'{c} IS NOT NULL' for c in LEGS)} GROUP BY session_date HAVING count(*) >= 50)",
@@ -546,13 +597,14 @@ def other_provider(bars: DataFrame) -> DataFrame:
     """A second vendor's bars: some adjusted by a dividend, some with single odd closes, four hours later."""
     no = tables.symbol_number()
     odd = F.when(no % 10 == 0, 0.95).when((no % 7 == 0) & (F.to_date("timestamp") == F.lit("1998-06-15").cast("date")), 1.02).when((no % 11 == 0) & F.to_date("timestamp").between("1998-01-01", "1998-03-31"), 1.01).otherwise(1.0)
-    return bars.withColumns({"close": F.col("close") * odd, "timestamp": F.col("timestamp") + F.expr("INTERVAL 4 HOURS")})
+    volume = F.col("volume") + F.when((no % 13 == 0) & (F.year("timestamp") == 1997), 1.0).otherwise(0.0)
+    return bars.withColumns({"close": F.col("close") * odd, "volume": volume, "timestamp": F.col("timestamp") + F.expr("INTERVAL 4 HOURS")})
 
 
-PROVIDERS = f"""{sql.DENSE}, d AS (SELECT *, CAST(ts AS DATE) AS session_date, CAST(substr(symbol, 2, 5) AS INTEGER) AS no FROM dense
-), both_sides AS (SELECT *, close * CASE WHEN no % 10 = 0 THEN 0.95 WHEN no % 7 = 0 AND session_date = DATE '1998-06-15' THEN 1.02 WHEN no % 11 = 0 AND session_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' THEN 1.01 ELSE 1.0 END AS other FROM d
+PROVIDERS = f"""{sql.DENSE}, d AS (SELECT *, CAST(ts AS DATE) AS session_date, CAST(substr(symbol, 2) AS BIGINT) AS no FROM dense
+), both_sides AS (SELECT *, ts + INTERVAL 4 HOUR AS other_ts, volume + CASE WHEN no % 13 = 0 AND year(ts) = 1997 THEN 1 ELSE 0 END AS other_volume, close * CASE WHEN no % 10 = 0 THEN 0.95 WHEN no % 7 = 0 AND session_date = DATE '1998-06-15' THEN 1.02 WHEN no % 11 = 0 AND session_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' THEN 1.01 ELSE 1.0 END AS other FROM d
 ), diff AS (SELECT *, abs(other / close - 1) * 10000 AS bps, other / close AS close_ratio FROM both_sides
-), cmp AS (SELECT symbol, count(*) AS overlap_rows, max(bps) AS max_bps, median(bps) AS median_bps, CAST(count_if(bps > 5) AS BIGINT) AS rows_over_tolerance, median(close_ratio) AS median_ratio, CAST(1 AS DOUBLE) AS volume_match_rate, CAST(4 AS DOUBLE) AS max_offset_hours FROM diff GROUP BY symbol
+), cmp AS (SELECT symbol, count(*) AS overlap_rows, max(bps) AS max_bps, median(bps) AS median_bps, CAST(count_if(bps > 5) AS BIGINT) AS rows_over_tolerance, median(close_ratio) AS median_ratio, avg(CASE WHEN volume = other_volume THEN 1.0 ELSE 0.0 END) AS volume_match_rate, max(abs(epoch(other_ts) - epoch(ts))) / 3600 AS max_offset_hours FROM diff GROUP BY symbol
 ), classes AS (SELECT *, CASE WHEN rows_over_tolerance = 0 THEN 'clean' WHEN median_bps > 5 OR abs(median_ratio - 1) > 0.005 THEN 'persistent_adjustment_basis'
   WHEN rows_over_tolerance = 1 OR rows_over_tolerance / CAST(overlap_rows AS DOUBLE) <= 0.01 THEN 'isolated_vendor_difference' ELSE 'localized_adjustment_window' END AS classification FROM cmp)"""
 
@@ -560,7 +612,7 @@ PROVIDERS = f"""{sql.DENSE}, d AS (SELECT *, CAST(ts AS DATE) AS session_date, C
 @register("cross_provider_audit", PROVIDERS, "SELECT *, CASE WHEN classification = 'clean' THEN 'ok' ELSE 'review' END AS status FROM classes",
           **columns("symbol", "overlap_rows", "rows_over_tolerance", "classification", "status"), **columns("max_bps", "median_bps", "median_ratio", "volume_match_rate", "max_offset_hours", digits=4))
 def _(spark, sf):
-    bars = tables.dense_bars(spark, sf)
+    bars = tables.bars(spark, sf)
     return audit.compare_providers(bars, other_provider(bars))
 
 

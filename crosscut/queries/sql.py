@@ -15,13 +15,8 @@ def full(agg: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) {last(n)} = {n} THEN {agg} {last(n)} END"
 
 
-def ewm(x: str, t: str, alpha: float) -> str:
-    q = 1 - alpha
-    return f"sum(CASE WHEN {t} = 0 THEN {x} WHEN {t} > 0 THEN {alpha!r} * {x} * pow({q!r}, -({t})) END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) * pow({q!r}, {t})"
-
-
 SPARSE = """sparse AS (
-  SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts,
+  SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), greatest(5, CAST(length(CAST(l_suppkey AS VARCHAR)) AS INTEGER)), '0') AS symbol, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts,
          first(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
          last(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS close, sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2)"""
@@ -34,12 +29,24 @@ DENSE = f"""{SPARSE}, carried AS (
   SELECT symbol, ts, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, coalesce(close, c) AS close, coalesce(volume, 0.0) AS volume FROM carried)"""
 
 SECURITIES = """securities AS (
-  SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS symbol, s_name AS name, r_name AS sector
+  SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), greatest(5, CAST(length(CAST(s_suppkey AS VARCHAR)) AS INTEGER)), '0') AS symbol, s_name AS name, r_name AS sector
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def recursive_means() -> str:
+    """c3 by the recursion itself, step by step from each symbol's first row."""
+    step = lambda e, x, a: f"(1 - {a!r}) * r.{e} + {a!r} * c.{x}"
+    means = ", ".join(f"{step(f'e_{n}', 'close', 2 / (n + 1))}" for n in config.EMA_SPANS)
+    wilder = ", ".join(f"CASE WHEN c.t = 1 THEN c.{x} ELSE {step(e, x, 1 / 14)} END" for e, x in (("g", "gain"), ("l", "loss")))
+    names = ", ".join(f"e_{n}" for n in config.EMA_SPANS)
+    return f"""steps AS MATERIALIZED (SELECT symbol, t, close, gain, loss FROM c2
+), means AS (SELECT symbol, t, {', '.join(f'close AS e_{n}' for n in config.EMA_SPANS)}, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l FROM steps WHERE t = 0
+  UNION ALL SELECT c.symbol, c.t, {means}, {wilder} FROM means r JOIN steps c ON c.symbol = r.symbol AND c.t = r.t + 1
+), c3 AS (SELECT c2.*, {names}, g, l FROM c2 JOIN means USING (symbol, t))"""
+
+
 def core() -> str:
-    ewms = ", ".join(f"{ewm('close', 't', 2 / (n + 1))} AS e_{n}" for n in config.EMA_SPANS)
+    """CTEs up to `core`, to stand after WITH RECURSIVE."""
     returns = ", ".join(f"close / nullif(lag(close, {n}) {W}, 0) - 1 AS return_{n}d" for n in config.RETURN_WINDOWS)
     year = "sqrt(252.0)"
     emas = ", ".join(f"CASE WHEN t >= {n - 1} THEN e_{n} END AS ema_{n}" for n in config.EMA_SPANS)
@@ -51,9 +58,7 @@ def core() -> str:
   SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss,
          CASE WHEN return_1d IS NOT NULL THEN pow(least(return_1d, 0), 2) END AS down,
          CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, close * volume AS dv FROM c1
-), c3 AS (
-  SELECT *, {ewms}, {ewm('gain', '(t - 1)', 1 / 14)} AS g, {ewm('loss', '(t - 1)', 1 / 14)} AS l FROM c2
-), c4 AS (
+), {recursive_means()}, c4 AS (
   SELECT *, {emas}, CASE WHEN t >= 14 THEN CASE WHEN l = 0 THEN CASE WHEN g > 0 THEN 100.0 END ELSE 100 - 100 / (1 + g / l) END END AS rsi_14, {vols},
          close / nullif({full('max(close)', 'close', 60)}, 0) - 1 AS current_drawdown_60d, {full('avg(tr)', 'tr', 14)} AS atr_14,
          {full('quantile_cont(dv, 0.5)', 'dv', 20)} AS median_dollar_volume_20d, volume / nullif({full('avg(volume)', 'volume', 20)}, 0) AS relative_volume_20d FROM c3
@@ -62,7 +67,7 @@ def core() -> str:
 
 
 def features() -> str:
-    baskets = ", ".join(f"round(avg(CASE WHEN CAST(substr(symbol, 2, 5) AS INTEGER) % 4 = {i} THEN close END), 4) AS {x}" for i, x in enumerate(("qqq", "tlt", "gld", "schd")))
+    baskets = ", ".join(f"round(avg(CASE WHEN CAST(substr(symbol, 2) AS BIGINT) % 4 = {i} THEN close END), 4) AS {x}" for i, x in enumerate(("qqq", "tlt", "gld", "schd")))
     labels = {x: x for x in config.PORTFOLIO_REFERENCES} | {"sector": "sector_close"}
     daily = ", ".join(f"{c} / nullif(lag({c}) {W}, 0) - 1 AS r_{x}" for x, c in labels.items())
     excess = ", ".join(f"return_{n}d - ({labels[x]} / nullif(lag({labels[x]}, {n}) {W}, 0) - 1) AS excess_return_{x}_{n}d" for x in ("spy", "sector") for n in (20, 60))
@@ -156,4 +161,5 @@ def walk_forward(units: int) -> str:
 ), test_daily AS (SELECT b.fold, d.rank_ic, d.top_bottom_spread, CASE WHEN d.session_date > min(d.session_date) OVER (PARTITION BY b.fold) THEN d.turnover END AS turnover
   FROM daily d JOIN best b ON d.candidate_id = b.candidate_id AND d.session_date BETWEEN b.test_start AND b.test_end
 ), tested AS (SELECT fold, {SUMMARY.replace(' AS ', ' AS test_')} FROM test_daily GROUP BY fold
-), walk AS (SELECT * FROM best JOIN tested USING (fold) JOIN candidates USING (candidate_id))"""
+), walk AS (SELECT * FROM best JOIN tested USING (fold) JOIN candidates USING (candidate_id)
+), best_ic AS (SELECT fold, candidate_id FROM trained QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mean_rank_ic DESC NULLS LAST, mean_spread DESC NULLS LAST, candidate_id) = 1)"""

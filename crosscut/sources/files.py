@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import whole_hash
 from ..operators.normalize import canonical_names, require
 
 PAYLOAD = "symbol STRING, empty BOOLEAN, candles ARRAY<STRUCT<datetime: BIGINT, open: DOUBLE, high: DOUBLE, low: DOUBLE, close: DOUBLE, volume: DOUBLE>>"
@@ -38,11 +39,19 @@ def read_parquet(spark: SparkSession, path: str, manifest: DataFrame | None = No
     return df if manifest is None else df.join(manifest.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "errorifexists", kind: str = "parquet") -> None:
+def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header under a given schema (DDL), read in one pass; a value of another type fails the run."""
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+
+
+def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = None, mode: str = "errorifexists", kind: str = "parquet") -> str:
+    """Write df and return the hash of what was written, read back: of its rows and columns in any order."""
     writer = df.write.mode(mode).format(kind)
     if kind == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    reader = df.sparkSession.read.schema(df.schema)
+    return whole_hash(reader.csv(path, header=True) if kind == "csv" else reader.format(kind).load(path)).first()["table_hash"]
 
 
 @dataclass(frozen=True)

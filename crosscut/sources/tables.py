@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeseries import CLOSED_FORM_ROWS
+from ..materialize import once
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,11 @@ def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", "timestamp", *[F.coalesce(c, "carried").alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_bars, written once in an application: features, benchmarks and panels scan that."""
+    return once(spark, "bars", [f"{sf_dir}/lineitem.parquet"], lambda: dense_bars(spark, sf_dir))
+
+
 def ewm_method(spark: SparkSession, sf_dir: str) -> str:
     """Closed form where the calendar is short enough for it, by a scan of one column."""
     n = _read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct().count()
