@@ -22,7 +22,7 @@ named like a result is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WS, WS_RE, documents, let, settle, sql_string, word_count
@@ -117,7 +117,10 @@ class Mix:
         placed = body.withColumn("pos", F.sum("words").over(within) - F.col("words"))
         base = base.withColumnsRenamed({"source": "s2", "chunk": "c2"})
         placed = placed.join(base, (F.col("chunk") == F.col("c2")) & F.col("source").eqNullSafe(F.col("s2"))).withColumn("start", F.col("base") + F.col("pos"))
-        self.placed = placed.select("doc_id", "source", "t", "size", "rows", "start")
+        names = self.sources.select("no", F.col("source").alias("s3"))
+        placed = placed.join(self._side(names), F.col("source").eqNullSafe(F.col("s3")))
+        #: (no, start) tells documents that have words apart.
+        self.placed = placed.select("doc_id", "source", "no", "t", "size", "rows", "start")
         self.runs = self._runs()
 
     def _drawn(self, sources: DataFrame, total: int, first_shard: int, turn: int) -> DataFrame:
@@ -174,43 +177,48 @@ class Mix:
 
     @property
     def slots(self) -> DataFrame:
+        """(shard, source, k, pass, block, at): `at` packs the source's number and the block into one key."""
         total = self.runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         runs = self.runs.repartition(self._tasks(total), "no", "shard").join(self._side(self.sources.select("no", "source", "blocks")), "no")
-        runs = runs.select("shard", "source", "blocks", F.explode(F.expr("sequence(k0, k0 + n - 1)")).alias("k"))
+        runs = runs.select("no", "shard", "source", "blocks", F.explode(F.expr("sequence(k0, k0 + n - 1)")).alias("k"))
         perm = permuted_sql("(k % blocks)", "blocks", f"{self.seed}, source, k DIV blocks")
-        return runs.select("shard", "source", "k", F.expr("k DIV blocks").alias("pass"), F.expr(perm).alias("block"))
-
-    @property
-    def pieces(self) -> DataFrame:
-        """(doc_id, source, t, size, rows, start, block, times): the stretches of documents that lie in blocks, and how
-        often the mix reads each block."""
-        last = F.floor((F.col("start") + F.col("size") * F.col("rows") - 1) / self.block_words)
-        spans = self.placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / self.block_words), last)))
-        times = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-        times = times.select(F.coalesce("source", F.lit("")).alias("s2"), F.col("source").isNull().alias("n2"), F.col("block").alias("b2"), "times")
-        on = (F.coalesce("source", F.lit("")) == F.col("s2")) & (F.col("source").isNull() == F.col("n2")) & (F.col("block") == F.col("b2"))
-        return spans.join(times, on, "left").drop("s2", "n2", "b2").withColumn("times", F.coalesce("times", F.lit(0)))
+        return runs.select("no", "shard", "source", "k", F.expr("k DIV blocks").alias("pass"), F.expr(perm).alias("block")).withColumn("at", _at("block"))
 
     @property
     def stretches(self) -> DataFrame:
-        """(doc_id, source, t, copy, size, block, times, first, upto): words [first, upto) of a row lie in a block.
+        """(at, no, start, copy, first, upto): words [first, upto) of a row lie in a block.
 
         Of rows that share everything only those meet a block that lie in it, by their places in the stream."""
-        begin, end = F.col("block") * self.block_words - F.col("start"), (F.col("block") + 1) * self.block_words - F.col("start")
-        first, last = F.floor(F.greatest(begin, F.lit(0)) / F.col("size")), F.least(F.floor((end - 1) / F.col("size")), F.col("rows") - 1)
-        each = self.pieces.withColumn("copy", F.explode(F.sequence(first, last))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
-        a = F.greatest(F.lit(0), F.col("block") * self.block_words - F.col("start"))
-        b = F.least(F.col("size"), (F.col("block") + 1) * self.block_words - F.col("start"))
-        return each.withColumns({"first": a, "upto": b}).filter("first < upto")
+        w, start, size = self.block_words, F.col("start"), F.col("size")
+        blocks = F.sequence(F.floor(start / w), F.floor((start + size * F.col("rows") - 1) / w))
+        each = self.placed.filter("size > 0").select("no", "start", "size", "rows", F.explode(blocks).alias("block"))
+        begin = F.col("block") * w - start
+        first, last = F.floor(F.greatest(begin, F.lit(0)) / size), F.least(F.floor((begin + w - 1) / size), F.col("rows") - 1)
+        each = each.withColumn("copy", F.explode(F.sequence(first, last)))
+        begin = begin - F.col("copy") * size
+        return each.select(_at("block").alias("at"), "no", "start", "copy", F.greatest(F.lit(0), begin).alias("first"), F.least(size, begin + w).alias("upto"))
+
+    @property
+    def read(self) -> DataFrame:
+        """stretches that the mix reads, and how many times; nothing but keys and numbers is shuffled."""
+        return self.stretches.join(self.slots.groupBy("at").agg(F.count(F.lit(1)).alias("times")), "at")
+
+    @property
+    def rows(self) -> DataFrame:
+        """placed with a row for each row of the documents, and the key (no, start, copy) of those that have words."""
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
+        return self.placed.withColumn("copy", copies).withColumn("start", F.when(F.col("size") > 0, F.col("start")))
 
     @property
     def taken(self) -> DataFrame:
         """A row for each row of the documents: doc_id, source, size, source_size, target, taken."""
-        got = self.stretches.groupBy("doc_id", "source", "t", "copy", "size").agg(F.sum((F.col("upto") - F.col("first")) * F.col("times")).alias("taken"))
-        none = self.placed.filter("size = 0").withColumns({"copy": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)), "taken": F.lit(0).cast("long")})
-        rows = got.unionByName(none.select(*got.columns))
-        src = self.sources.select(F.col("source").alias("s2"), "source_size", "target")
-        return rows.join(src, F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "source", "t", "copy", "size", "source_size", "target", "taken")
+        got = self.read.groupBy("no", "start", "copy").agg(F.sum((F.col("upto") - F.col("first")) * F.col("times")).alias("taken"))
+        out = self.rows.join(got, ["no", "start", "copy"], "left").join(self._side(self.sources.select("no", "source_size", "target")), "no")
+        return out.select("doc_id", "source", "t", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _at(block: str) -> Column:
+    return F.shiftleft(F.col("no").cast("long"), 40) + F.col(block)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -224,8 +232,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         "__mx_id": F.coalesce("doc_id", F.lit(0)), "__mx_no_id": F.col("doc_id").isNull(),
         "__mx_no_source": F.col("source").isNull(), "__mx_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
     }
-    read = mix(docs, **options).stretches.filter("times > 0").withColumns(key)
-    read = read.groupBy(*key, F.col("t").alias("__mx_t"), "copy", "size").agg(F.array_sort(F.collect_list(F.struct("first", "upto", "times"))).alias("__mx_read"), F.max("times").alias("most"))
+    plan = mix(docs, **options)
+    read = plan.read.groupBy("no", "start", "copy").agg(F.array_sort(F.collect_list(F.struct("first", "upto", "times"))).alias("__mx_read"), F.max("times").alias("most"))
+    rows = plan.rows.withColumns(key).select(*key, F.col("t").alias("__mx_t"), "no", "start", "copy", "size")
+    read = rows.join(read, ["no", "start", "copy"]).drop("no", "start")
     read = read.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most")))).withColumn("__mx_read", F.expr("filter(__mx_read, x -> x.times >= pass)"))
     read = read.withColumn("__mx_whole", F.expr("aggregate(__mx_read, 0L, (a, x) -> a + x.upto - x.first)") == F.col("size")).drop("copy", "most", "pass", "size")
     keys = [*key, "__mx_t"]
