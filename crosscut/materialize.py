@@ -53,14 +53,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
-def _stamp(spark: SparkSession, uri: str) -> tuple:
+def _stamp(spark: SparkSession, uri: str) -> tuple | None:
     path, store = _path(spark, uri)
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(path)))
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in store.listStatus(path))) if store.exists(path) else None
 
 
 def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """make()'s table, settled once in an application for as long as its input files stay as they are."""
-    key = (spark.sparkContext.applicationId, name, *((i, _stamp(spark, i)) for i in inputs))
+    """make()'s table, settled once in an application for as long as its input files stay as they are; anew each time
+    where an input has no files of its own."""
+    stamps = [_stamp(spark, i) for i in inputs]
+    if None in stamps:
+        return settled(make(), name)
+    key = (spark.sparkContext.applicationId, name, *zip(inputs, stamps))
     if key not in _kept:
         _kept[key] = settled(make(), name)
     return _kept[key]
