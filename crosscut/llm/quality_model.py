@@ -2,10 +2,10 @@
 
 A text's features are its words, runs of signs and line ends (single and in pairs, hashed to 2^20 places) and the fact
 that a word repeats the one before it; values are log(1 + count), scaled to length one. Training is per-coordinate
-FTRL-proximal with L1 and L2 terms over a bounded sample of labelled rows (FIT_ROWS, FIT_CHARS), chosen by a hash of
-doc_id from all labelled rows. Scores are sparse dot products of whole texts with the memory-mapped weights.
+FTRL-proximal with L1 and L2 terms over a bounded sample of labelled rows (FIT_ROWS, of any length and whole), chosen by
+a hash of doc_id from all labelled rows. Scores are sparse dot products of whole texts with the memory-mapped weights.
 
-Defined cases: a null or empty text has the score of the bias alone; labels other than 0 and 1 and rows without a label
+Defined cases: a null or empty text has the score of the bias alone; a very long text is read whole, alone in its slice; labels other than 0 and 1 and rows without a label
 teach nothing, a doc_id labelled twice has its highest label; without any usable label every score is 0.5; repeated
 rows, null ids and extra columns pass through, and an input column named like a result is replaced; an empty table gives
 an empty result.
@@ -24,7 +24,7 @@ from .common import documents, map_texts, mapped_file, put_file, shared_path, ta
 from .langid import held_out
 
 BITS = 20
-FIT_ROWS, FIT_CHARS, EPOCHS = 6_000, 20_000, 3
+FIT_ROWS, EPOCHS = 6_000, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.5, 1.0
 THRESHOLD = 0.3
 
@@ -89,8 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     """Weights learnt from labels (doc_id and label) of docs, written to the shared folder; returns their path."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__label"))
     sample = known.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", F.col(text).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
-    rows = rows.join(F.broadcast(sample), "doc_id")  # at most fit_rows rows of 20 bytes
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # at most fit_rows rows of 20 bytes
 
     def kernel(texts: list[str]) -> dict:
         found = [features(t) for t in texts]

@@ -97,6 +97,45 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["quality"] == r["predicted"] for r in got]) > 0.85
 
 
+def test_ftrl_follows_the_plain_updates():
+    """The array updates against the published per-coordinate rule, place by place."""
+    rng, q = np.random.default_rng(5), quality_model
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6), int(rng.random() < 0.4)) for _ in range(300)]
+    model, z, n, bias = q.Ftrl(40), [0.0] * 40, [0.0] * 40, [0.0, 0.0]
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= q.L1 else -(z[i] - (q.L1 if z[i] > 0 else -q.L1)) / ((q.BETA + n[i] ** 0.5) / q.ALPHA + q.L2)
+
+    for places, values, label in rows:
+        model.update(places, values, label)
+        w, b = {i: weight(i) for i in places}, -bias[0] / ((q.BETA + bias[1] ** 0.5) / q.ALPHA)
+        g = 1 / (1 + np.exp(-(sum(w[i] * v for i, v in zip(places, values)) + b))) - label
+        for i, v in zip(places, values):
+            z[i] += g * v - ((n[i] + (g * v) ** 2) ** 0.5 - n[i] ** 0.5) / q.ALPHA * w[i]
+            n[i] += (g * v) ** 2
+        bias = [bias[0] + g - ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / q.ALPHA * b, bias[1] + g * g]
+    assert np.allclose(model.weights, [weight(i) for i in range(40)]) and np.count_nonzero(model.weights)
+    assert np.isclose(model.bias, -bias[0] / ((q.BETA + bias[1] ** 0.5) / q.ALPHA))
+
+
+def test_quality_learns_from_long_texts(spark):
+    """Labelled texts of any length teach, and scores order held-out texts."""
+    good, bad = "a calm and careful account of the matter ", "buy now click here win big prizes "
+    rows = [(i, (good if i % 2 else bad) * (700 if i < 20 else 3), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for known in ("doc_id < 20", "doc_id >= 20"):
+        model = quality_model.fit(df.select("doc_id", "text"), df.filter(known).select("doc_id", "quality"))
+        got = quality_model.score(df, model).collect()
+        assert min(r["score"] for r in got if r["quality"]) > 0.5 > max(r["score"] for r in got if not r["quality"])
+
+
+@data
+def test_quality_ranks_held_out_rows(spark):
+    got = registry.QUERIES["op2_quality_classifier"](spark, SF).join(table(spark, SF, "labels"), "doc_id").filter("held_out").collect()
+    good, bad = ([r["score"] for r in got if r["quality"] == y] for y in (1, 0))
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
+
+
 def brute(rows, words, percent):
     sets = {}
     for d, t in rows:
