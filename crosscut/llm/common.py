@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +90,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a path of shared_path before the program ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _made.discard(path)
+
+
 def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
@@ -105,8 +112,8 @@ def local_path(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-def put_file(uri: str, name: str, parts: list) -> None:
-    """Write byte blocks as uri/name, seen whole or not at all: retried tasks replace the same content."""
+def put_file(uri: str, name: str, parts: Iterable) -> None:
+    """Write byte blocks, taken one by one, as uri/name, seen whole or not at all: retried tasks replace the same content."""
     if (base := local_path(uri)) is not None:
         os.makedirs(base, exist_ok=True)
         tmp = f"{base}/.{name}.{uuid.uuid4().hex}"

@@ -3,14 +3,15 @@
 Documents are range-partitioned by doc_id, so that partition p of the output holds smaller ids than partition p + 1.
 Each task encodes its documents and writes three files: NNNNN.ids (flat little-endian unsigned integers, two bytes each
 when the vocabulary allows, else four), NNNNN.off (n + 1 64-bit token offsets within the partition) and NNNNN.doc
-(64-bit doc_ids). The driver never sees tokens: a partition's base, the number of ids before it, is a prefix sum over
+(64-bit doc_ids). Ids go to their file slice by slice, so that a task holds a slice and 16 bytes a document whatever its
+partition's size; the number of partitions follows from the bytes of the texts. The driver never sees tokens: a partition's base, the number of ids before it, is a prefix sum over
 one row per partition. Files appear whole or not at all, so that a lost executor's tasks may run again.
 
 The tokenizer drops white space, so a text's ids are those of its white-space separated chunks in order; each distinct
 chunk is encoded by the library once per worker, within a bounded memo.
 
-Defined cases: a null or empty text has the end id alone; a null doc_id comes last and is read back as null; rows that
-share a doc_id stand side by side in the order of their texts' hashes; extra columns are ignored; an empty table gives
+Defined cases: a null or empty text has the end id alone; a very long text is encoded alone and whole; a null doc_id comes
+last and is read back as null; rows that share a doc_id stand side by side in the order of their texts' hashes; extra columns are ignored; an empty table gives
 no files and an empty result.
 """
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import WS, arrow_slices, documents, mapped_file, put_file, settle, shared_path
 
-NO_ID = -(1 << 63)
+#: Bytes of text in a partition of the files, at most about.
+PARTITION_BYTES = 256_000_000
 #: Distinct chunks, and distinct pieces, that a worker keeps with their ids.
 MEMO_CHUNKS, MEMO_PIECES = 500_000, 800_000
 #: Bytes encoded at once; more at once means fewer distinct chunks to look at.
@@ -160,36 +162,46 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, partitions: int | None = None, path: str | None = None) -> tuple[str, DataFrame]:
     """Write docs' ids below path (default: a fresh one in the shared folder), each document closed by end_id.
 
-    Returns the path and a table of its partitions: part, n_docs, n_tokens, base (ids in all partitions before), width.
+    partitions: default one for PARTITION_BYTES of text, and no fewer than the session's shuffle setting.
+    Returns the path and a table of its partitions: part, n_docs, n_null (documents without an id, its last ones), n_tokens,
+    base (ids in all partitions before), width.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(partitions, F.col("doc_id").asc_nulls_last())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    )
+    if not partitions:
+        n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    # the hash lets the rows of one doc_id lie in several partitions
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = chunk_encoder(tokenizer), TaskContext.get().partitionId()
-        blocks, lengths, names = [], [], []
-        for batch in batches:
-            names.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            for texts in arrow_slices(batch.column(1), SLICE_BYTES):
-                ids, n = encoder(texts)
-                blocks.append(np.insert(ids, np.cumsum(n), encoder.dtype.type(end_id)))
-                lengths.append(n + 1)
-        if not lengths:
+        lengths, names, n_null = [], [], 0
+
+        def blocks() -> Iterator[np.ndarray]:
+            nonlocal n_null
+            for batch in itertools.chain(filled, batches):
+                names.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+                n_null += batch.column(0).null_count
+                for texts in arrow_slices(batch.column(1), SLICE_BYTES):
+                    ids, n = encoder(texts)
+                    lengths.append(n + 1)
+                    yield np.insert(ids, np.cumsum(n), encoder.dtype.type(end_id))
+
+        filled = list(itertools.islice((b for b in batches if b.num_rows), 1))
+        if not filled:
             return
-        lengths = np.concatenate(lengths)
-        offsets = np.zeros(len(lengths) + 1, "<i8")
-        np.cumsum(lengths, out=offsets[1:])
-        for kind, parts in (("ids", blocks), ("off", [offsets]), ("doc", names)):
-            put_file(path, f"{part:05d}.{kind}", parts)
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "width": [encoder.dtype.itemsize]})
-
-    parts = settle(ordered.mapInArrow(write, "part long, n_docs long, n_tokens long, width long"), "token_parts")
+        put_file(path, f"{part:05d}.ids", blocks())
+        sizes = np.concatenate(lengths)
+        offsets = np.zeros(len(sizes) + 1, "<i8")
+        np.cumsum(sizes, out=offsets[1:])
+        put_file(path, f"{part:05d}.off", [offsets])
+        put_file(path, f"{part:05d}.doc", names)
+        row = {"part": part, "n_docs": len(sizes), "n_null": n_null, "n_tokens": int(offsets[-1]), "width": encoder.dtype.itemsize}
+        yield pa.RecordBatch.from_pylist([row])
+
+    parts = settle(ordered.mapInArrow(write, "part long, n_docs long, n_null long, n_tokens long, width long"), "token_parts")
     base = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")  # one row a partition
     return path, parts.withColumn("base", base)
 
@@ -210,7 +222,7 @@ def read_token_files(path: str, parts: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(ids[offsets[j] : offsets[j + 1]].astype("<u4")) for j in range(i, upto)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.asarray(names[i:upto]), pa.int64(), mask=np.asarray(names[i:upto]) == NO_ID),
+                            pa.array(np.asarray(names[i:upto]), pa.int64(), mask=np.arange(i, upto) >= len(names) - row["n_null"]),
                             pa.array(row["base"] + offsets[i:upto]), pa.array(np.diff(offsets[i : upto + 1])), pa.array(crc, pa.int64()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -86,6 +86,19 @@ def test_token_files(spark, odd, empty):
     assert token_files.read_token_files(*token_files.write_token_files(empty, WORDS, 1)).count() == 0
 
 
+def test_token_files_of_extreme_ids_and_many_slices(spark, monkeypatch):
+    """The least and the greatest id stay themselves beside null; a doc_id may lie in several partitions; slices add up."""
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 50)
+    rows = [(-(1 << 63), "least one"), ((1 << 63) - 1, "greatest one"), (None, "none"), (None, None)] + [(5, f"words of row {i % 40}") for i in range(300)] + [(6, "many words " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n in (None, 1, 9):
+        got = token_files.read_token_files(*token_files.write_token_files(df, WORDS, 1, partitions=n)).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is None, d or 0))
+        assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+        crc = lambda t: (len(i := [*ids(word_lib, t), 1]), zlib.crc32(np.array(i, "<u4").tobytes()))
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(d), *crc(t)) for d, t in rows)
+
+
 def test_counts_and_codec_on_odd_tables(odd, empty):
     for r in token_counts.count_tokens(odd, BYTES, limit=3).collect():
         n = len(ids(byte_lib, r["text"] or "")) if "text" in r else None
