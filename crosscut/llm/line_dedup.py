@@ -3,10 +3,12 @@
 Documents come in batches of ascending doc_id. A batch's distinct line hashes are anti-joined with every run that
 earlier batches left; what remains is written, bucketed and sorted by hash, as the batch's own run. When a level holds
 `fanout` runs they are compacted into one run of the next level. A line survives where its batch's run says that its
-document is the first to hold it. Everything is DataFrame code; each shuffle carries hashes, never texts, but for the
-last join that brings the decisions to the texts.
+document is the first to hold it; this join's key holds the document too, so that a line found everywhere is dealt over
+all tasks, at the price of shuffling the run. Everything is DataFrame code; each shuffle carries hashes, never texts, but
+for the last join that brings the decisions to the texts. The decisions are written, and the runs removed, before that.
 
-Defined cases: a null or empty text is one empty line; a null doc_id orders after all others; rows that share a doc_id
+Defined cases: a null or empty text is one empty line; a very long text is split and joined whole, within its row; a null
+doc_id orders after all others and stands for the id 2^63 - 1; rows that share a doc_id
 count as one document, so a line does not repeat "across documents" within them; extra columns pass through, and an
 input column named like a result is replaced; an empty table gives an empty result.
 """
@@ -18,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, WS, ascii_lower, documents, let, settle, shared_path
+from .common import MAX_LONG, WS, ascii_lower, discard, documents, let, settle, shared_path
 
 MIN_KEY_CHARS = 10
 BATCHES = 4
@@ -32,21 +34,23 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Runs of (h1, h2, first): two independent 64-bit hashes of a line's key and the smallest document that holds it.
 
-    The runs are bucketed tables in the shared folder, so that joins with them shuffle the new side only.
+    The runs are bucketed tables in the shared folder, so that anti-joins on (h1, h2) shuffle the new side only.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = shared_path(self.spark, "run")
         (
             df.repartition(self.buckets, "h1", "h2")
             .write.bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
-            .option("path", shared_path(self.spark, "run"))
+            .option("path", self.paths[name])
             .format("parquet")
             .saveAsTable(name)
         )
@@ -55,7 +59,7 @@ class LineRuns:
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys that no run holds."""
         for name in (n for level in self.levels for n in level):
-            keys = keys.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            keys = keys.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> DataFrame:
@@ -76,8 +80,11 @@ class LineRuns:
             self._place(self._write(merged), level + 1)
 
     def drop(self) -> None:
-        for name in (n for level in self.levels for n in level):
+        """Remove all runs, those that were compacted among them, and their files."""
+        for name, path in self.paths.items():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+        self.levels, self.paths = [], {}
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -108,7 +115,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, batches: int
         ).select("k", "t", "pos")
         dropped = gone if dropped is None else dropped.unionAll(gone)
     # a document's own lines only: as long as the document at most
-    cut = dropped.groupBy("k", "t").agg(F.array_sort(F.collect_set("pos")).alias("__ld_gone"))
+    cut = settle(dropped.groupBy("k", "t").agg(F.array_sort(F.collect_set("pos")).alias("__ld_gone")), "dropped_lines")
+    runs.drop()
     n = "size(g)"
     pieces = f"transform(sequence(0, {n}), i -> slice(l, IF(i = 0, 0, g[i - 1] + 1) + 1, IF(i = {n}, size(l), g[i]) - IF(i = 0, 0, g[i - 1] + 1)))"
     kept = let("split(__ld_body, '\\n', -1)", "l", let("__ld_gone", "g", f"array_join(flatten({pieces}), '\\n')"))

@@ -79,6 +79,29 @@ def test_quality_rules_in_a_small_and_a_hot_host(spark):
     assert {r["doc_id"] for r in shared} == set(range(25))
 
 
+def test_quality_rules_count_documents_or_texts(spark):
+    """Copies are documents of their own, rows of one doc_id are one document; more lines than a broadcast takes change nothing."""
+    copy = "A line of the copied page\n" + " ".join(f"c{j}" for j in range(30))
+    rows = [(i, copy, "h") for i in range(25)] + [(100, f"One document many rows\nand row {i}", "h") for i in range(25)] + [(200 + i, copy, "other") for i in range(20)]
+    rows += [(300 + i, f"Cookie notice for all pages\n{'rarer line of some' if i < 22 else ''}\n" + " ".join(f"w{i}x{j}" for j in range(30)), "h") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for broadcast_rows in (0, 1, 2, 10):
+        got = quality_rules.quality_rules(df, count="documents", broadcast_rows=broadcast_rows).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            i = r["doc_id"]
+            assert r["n_removed_lines"] == (2 if i < 25 or 300 <= i < 322 else 1 if i >= 322 else 0), (broadcast_rows, i)
+            assert r["kept"] == (not r["base_failed"] and i >= 25)
+    texts = quality_rules.quality_rules(df).filter("n_removed_lines > 0").select("doc_id").collect()
+    assert {r["doc_id"] for r in texts} == {100} | {300 + i for i in range(40)}  # the rows of 100 differ
+
+
+def test_line_dedup_leaves_no_tables(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert line_dedup.dedup_lines(odd, batches=7).count() == odd.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def targets(sizes, weights=(1, 2, 3), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
