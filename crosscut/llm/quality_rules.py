@@ -1,16 +1,18 @@
 r"""Quality rules by cross-document line frequency.
 
 Lines are normalised (ASCII white space stripped at both ends, lower-cased) and hashed. For every host the number of
-distinct documents that hold a line is counted, where exact copies of one text count as one document. Lines above the
-limit, the same for a small and a large host, are boilerplate and are removed; a document of which too small a share of
-words is left is rejected.
+distinct documents that hold a line is counted: distinct doc_ids (count="documents", as op10 does), or distinct texts
+(count="texts"), where exact copies count once. Lines above the limit, the same for a small and a large host, are
+boilerplate and are removed; a document of which too small a share of words is left is rejected.
 Beside this verdict stand plain per-document rules on word count and on repeated word windows. DataFrame functions only.
 
 Per-document features never leave their row. The line counts shuffle hashes, aggregated before the shuffle; the
-boilerplate table comes back by a broadcast only when its counted size allows, else by a shuffled join.
+boilerplate table comes back by a broadcast when its counted size allows. A larger one is parted by frequency: its most
+frequent lines, as many as may be broadcast, come by a broadcast, the others by a shuffled join, in which no key is then
+more frequent than any of those.
 
-Defined cases: a null text has no words and fails; a null host is a host of its own; a null doc_id is an id like any
-other; repeated rows each get their own row back; extra columns pass through, and an input column named like a result
+Defined cases: a null text has no words and fails; a very long one is split and counted whole, within its row; a null host
+is a host of its own; a null doc_id is an id like any other; repeated rows each get their own row back; extra columns pass through, and an input column named like a result
 is replaced; an empty table gives an empty result.
 """
 
@@ -63,21 +65,36 @@ def line_hash(line: str) -> str:
     return f"xxhash64(lower(btrim({line}, {sql_string(WS)})))"
 
 
-def boilerplate(docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None) -> DataFrame:
-    """(host, h): hashes of the lines that stand in more than min_docs distinct documents of a host.
+def boilerplate(docs: DataFrame, *, host: str = "source", min_docs: int = MIN_DOCS, max_share: float | None = None, count: str = "texts") -> DataFrame:
+    """(host, h, n): hashes of the lines that stand in n > min_docs distinct documents (or texts) of a host.
 
     With max_share also in more than this share of them, which lets lines of large hosts stay."""
-    own = docs.select(F.col(host).cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    unit = {"documents": F.col("doc_id"), "texts": F.xxhash64("text")}[count]
+    own = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     hashes = f"array_distinct(transform(filter(split(text, '\\n', -1), x -> length(btrim(x, {sql_string(WS)})) > 0), x -> {line_hash('x')}))"
-    lines = own.select("host", F.xxhash64("text").alias("t"), F.explode(F.expr(hashes)).alias("h"))
-    # distinct (host, line, text), then a count: both aggregates combine before their shuffles
+    lines = own.select("host", unit.alias("t"), F.explode(F.expr(hashes)).alias("h"))
+    # distinct (host, line, document), then a count: both aggregates combine before their shuffles
     counts = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.filter(F.col("n") > min_docs)
     if max_share is None:
-        return counts.select("host", "h")
-    texts = own.select("host", F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+        return counts.select("host", "h", "n")
+    texts = own.select("host", unit.alias("t")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = counts.join(texts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")))
-    return counts.filter(F.col("n") > F.col("n_docs") * max_share).select("host", "h")
+    return counts.filter(F.col("n") > F.col("n_docs") * max_share).select("host", "h", "n")
+
+
+def _with_boilerplate(lines: DataFrame, common: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of lines that common names."""
+    on = ["__qr_host", "__qr_null", "__qr_h"]
+    names, total = common.select(*on), common.count()
+    if total <= broadcast_rows:
+        return lines.join(F.broadcast(names), on)
+    limit = common.agg(F.percentile_approx("__qr_n", 1 - broadcast_rows / total, 10_000)).first()[0]
+    frequent = common.filter(F.col("__qr_n") > limit).select(*on)
+    if not 0 < frequent.count() <= 2 * broadcast_rows:  # none above, or the percentile is off: plain shuffle
+        return lines.join(names, on)
+    others = lines.join(F.broadcast(frequent), on, "left_anti").join(common.filter(F.col("__qr_n") <= limit).select(*on), on)
+    return lines.join(F.broadcast(frequent), on).unionByName(others)
 
 
 def quality_rules(
@@ -90,11 +107,11 @@ def quality_rules(
     max_share: float | None = None,
     min_left: float = MIN_LEFT,
     broadcast_rows: int = BROADCAST_ROWS,
+    count: str = "texts",
 ) -> DataFrame:
     """docs with the features, base_failed, n_removed_lines, n_left_words and kept."""
-    common = settle(boilerplate(docs, host=host, min_docs=min_docs, max_share=max_share), "boilerplate")
-    small = common.count() <= broadcast_rows
-    common = common.select(F.coalesce("host", F.lit("")).alias("__qr_host"), F.col("host").isNull().alias("__qr_null"), F.col("h").alias("__qr_h"))
+    common = settle(boilerplate(docs, host=host, min_docs=min_docs, max_share=max_share, count=count), "boilerplate")
+    common = common.select(F.coalesce("host", F.lit("")).alias("__qr_host"), F.col("host").isNull().alias("__qr_null"), F.col("h").alias("__qr_h"), F.col("n").alias("__qr_n"))
     body = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     key = {"__qr_k": F.col("doc_id"), "__qr_t": F.xxhash64("text")}
     size = f"size({_sql_words('x')})"
@@ -106,7 +123,7 @@ def quality_rules(
         )
         .select("__qr_k", "__qr_t", "pos", F.coalesce("host", F.lit("")).alias("__qr_host"), F.col("host").isNull().alias("__qr_null"), F.col("z.h").alias("__qr_h"), F.col("z.n").alias("n"))
     )
-    hit = lines.join(F.broadcast(common) if small else common, ["__qr_host", "__qr_null", "__qr_h"])
+    hit = _with_boilerplate(lines, common, broadcast_rows)
     # a repeated row repeats its lines: (k, t, host, pos) holds each once
     gone = (
         hit.groupBy("__qr_k", "__qr_t", "__qr_host", "__qr_null", "pos").agg(F.max("n").alias("n"))
@@ -131,8 +148,35 @@ def quality_rules(
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", *RESULTS)
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source"), count="documents").select("doc_id", *RESULTS)
+
+
+#: A limit so low that lines and documents go in small tables too.
+LOW_LIMIT = 1
+
+
+def quality_rules_low_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line rule alone, with every line boilerplate that stands in two documents of a host."""
+    out = quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source"), min_docs=LOW_LIMIT, count="documents")
+    return out.select("doc_id", "n_words", "n_removed_lines", "n_left_words", (F.col("n_left_words") < F.col("n_words") * MIN_LEFT).alias("depleted"))
+
 
+LOW_LIMIT_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS ws FROM documents
+), lk AS (
+  SELECT doc_id, source, lower(trim(line, ws)) AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, source, ws, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line, ws) <> ''
+), common AS (
+  SELECT source, key FROM lk GROUP BY source, key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) > {LOW_LIMIT}
+), gone AS (
+  SELECT doc_id, count(*) AS nl, sum(n) AS nw FROM lk JOIN common c ON lk.source IS NOT DISTINCT FROM c.source AND lk.key = c.key GROUP BY doc_id
+), counts AS (
+  SELECT d.doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, coalesce(nl, 0) AS n_removed_lines, coalesce(nw, 0) AS nw
+  FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, n_removed_lines, CAST(n_words - nw AS BIGINT) AS n_left_words, n_words - nw < n_words * {MIN_LEFT} AS depleted FROM counts
+"""
 
 ORACLE = rf"""
 WITH d AS (

@@ -13,10 +13,12 @@ QUERIES = {
     "op8_near_duplicates": near_dup.op8_near_duplicates,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "quality_rules_low_limit": quality_rules.quality_rules_low_limit,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op8_near_duplicates": near_dup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "quality_rules_low_limit": quality_rules.LOW_LIMIT_SQL,
 }
