@@ -5,7 +5,7 @@
    with equal sets form a class, and only classes go on.
 2. Classes that share a band's value are candidates. A band's bucket is never expanded into pairs: its members meet one
    pivot, the member with the most collisions overall, and each such link is confirmed on the full sets. Large stars are
-   salted.
+   cut into parts, whose numbers reach the members by a broadcast behind a count.
 3. Connected components of the confirmed links (large-star / small-star, each round written to the shared folder).
 4. Buckets whose members are not yet in one component are examined block against block: signatures first (with the
    pair left to the first band it shares), then, for members with a partner left, the full sets. What leaves a block is
@@ -14,8 +14,9 @@
 
 The number of bands follows from the threshold: a pair exactly at it is missed with a probability under MAX_MISS.
 
-Defined cases: a document without words is linked with nothing; with fewer words than a shingle has, the whole sequence
-is its one shingle; a null doc_id orders after all others; rows that share a doc_id are looked at text by text and all
+Defined cases: a document without words is linked with nothing; a very long text is cut into shingles alone and whole; with fewer words than a shingle has, the whole sequence
+is its one shingle; a null doc_id orders after all others and stands
+for the id 2^63 - 1; rows that share a doc_id are looked at text by text and all
 kept or dropped by the same rule; extra columns pass through, and an input column named like a result is replaced; an
 empty table gives an empty result. Shingles are compared by 64-bit hashes, classes by 128-bit digests.
 """
@@ -188,7 +189,10 @@ class NearDuplicates:
         pairs = pairs.filter(100 * F.least("n", "pn") >= self.percent * F.greatest("n", "pn")).select("p", "c").distinct()
         pairs = settle(pairs, "pairs")
         parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-        pairs = pairs.join(parts, "p").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")))
+        # only pivots of several parts need the join: one row for STAR pairs at least
+        hot = settle(parts.filter("parts > 1"), "hot_pivots")
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+        pairs = pairs.join(hot, "p", "left").withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1).cast("long"))))
         centres = parts.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("p").alias("c"))
         rows = centres.withColumn("member", F.lit(0)).unionByName(pairs.select("p", "part", "c").withColumn("member", F.lit(1)))
         words, percent = self.words, self.percent
