@@ -48,7 +48,7 @@ STAGES = [
     ("encoding", encode_tokens),
 ]
 
-#: Language ID and token ids are beyond SQL; the operators' own tests hold them against brute force.
+#: Language ID and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage and run() against plain Python.
 ORACLE_SQL = None
 
 
