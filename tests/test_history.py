@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosscut import config
-from crosscut.plans import features, history
+from crosscut.operators import crosssection
+from crosscut.plans import features, history, panel, research
 from crosscut.queries import registry
 from crosscut.sources import tables
 
@@ -83,3 +84,30 @@ def test_fold(n):
         want = getattr(pd.DataFrame(x).rolling(n), name)()
         np.testing.assert_allclose(history.fold(x, n, op), want, rtol=1e-9, atol=1e-9, equal_nan=True)
     assert np.isnan(history.fold(x[:1], n)).all()
+
+
+@pytest.mark.parametrize("sample", [10, 1000])
+def test_panel_as_by_windows(spark, shop, by_windows, sample):
+    """Bounds from tails (with thresholds of a small sample, some too narrow) and from all values."""
+    table, market = tables.order_histories(spark, shop), tables.market(spark, shop)
+    found = history.panel_bounds(table, market, config.SCORING_FEATURES, sample=sample)
+    groups = [f"group_{g}" for g in config.GROUPS]
+    wanted = [*groups, *[f"forward_{k}_{h}d" for k in ("return", "end") for h in config.HORIZONS]]
+    got = history.panel_rows(table, market, found, wanted).toPandas()
+    want = panel.scoring_panel(by_windows.drop("session_date")).toPandas()
+    assert len(got) > 1000 and got["group_participation"].notna().any()
+    same(got, want, ["symbol", "session_date"], [*groups, *[f"forward_return_{h}d" for h in config.HORIZONS]])
+    order = lambda df: df.sort_values(["symbol", "session_date"]).reset_index(drop=True)
+    assert (pd.to_datetime(order(got)["forward_end_20d"]).astype(str) == order(want)["forward_end_20d"].astype(str)).all()
+    assert (order(got)["scoring_complete"] == order(want)["scoring_complete"]).all()
+
+
+@pytest.mark.parametrize("ties", ["symbol", "stable"])
+def test_by_dates_as_signal_metrics(spark, ties):
+    """Ties, gaps, dates with too few rows between others, and spans of days."""
+    rng = np.random.default_rng(3)
+    rows = [(dt.date(2025, 1, 1) + dt.timedelta(days=11 * d), f"S{s:02d}", float(np.round(rng.normal(), 1)), float(np.round(rng.normal(), 1)) if rng.random() < 0.95 else None) for d in range(20) for s in range(12 if d != 7 else 4)]
+    df = spark.createDataFrame(rows, "session_date date, symbol string, v double, y double")
+    want = crosssection.signal_metrics(df, "v", "y", ties=ties, min_n=6).toPandas()
+    got = research.by_dates(df, "k int", lambda date, d: [((1,), d["v"].to_numpy(), d["y"].to_numpy())], ties=ties, min_n=6).toPandas()
+    same(got, want, ["session_date"], ["n", "rank_ic", "top_bottom_spread", "turnover"])
