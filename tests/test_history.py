@@ -111,3 +111,29 @@ def test_by_dates_as_signal_metrics(spark, ties):
     want = crosssection.signal_metrics(df, "v", "y", ties=ties, min_n=6).toPandas()
     got = research.by_dates(df, "k int", lambda date, d: [((1,), d["v"].to_numpy(), d["y"].to_numpy())], ties=ties, min_n=6).toPandas()
     same(got, want, ["session_date"], ["n", "rank_ic", "top_bottom_spread", "turnover"])
+
+
+def test_parity_of_histories_and_windows(spark, shop, monkeypatch):
+    """The audit compares the queries' own features, all symbols and no table of dense bars; it finds a small fault."""
+    monkeypatch.setattr(tables, "bars", None)
+    want = {f: (60, 0) for f in config.FEATURES}
+    assert {r[0]: (r[1], r[2]) for r in registry.QUERIES["feature_parity"](spark, shop).collect()} == want
+    right = registry.features
+    monkeypatch.setattr(registry, "features", lambda *a, **k: right(*a, **k).withColumns({"rsi_14": F.col("rsi_14") + 1e-6, "corr_gld_60d": F.when(F.col("symbol") != "S00007", F.col("corr_gld_60d"))}))
+    got = {r[0]: (r[1], r[2]) for r in registry.QUERIES["feature_parity"](spark, shop).collect()}
+    assert {f: x for f, x in got.items() if x != want[f]} == {"rsi_14": (60, 59), "corr_gld_60d": (60, 1)}  # one symbol never moves, and has no rsi_14
+
+
+def test_last_averages_as_pandas(spark):
+    """Runs, a first move in the second session, one session, a first close that is missing."""
+    closes = {1: [5.0, 7.0, 7.0, 6.0, 6.0, 6.0, 9.0], 2: [3.0, 3.0, 3.0, 1.0, 1.0, 1.0, 1.0], 3: [np.nan] * 6 + [4.0], 4: [None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]}
+    lines = [(k, d, 1, 1, 1, v, 1.0) for k, x in closes.items() for d, v in enumerate(x) if v is None or v == v]
+    table = history.histories(spark.createDataFrame(lines, "key long, day int, a long, b long, c long, price double, quantity double"), spark.createDataFrame([(k, "X") for k in closes], "key long, sector string"))
+    got = features.last_averages(history.close_runs(table, np.arange(7, dtype=np.int32))).toPandas().set_index("symbol")
+    for k in (1, 2, 3):
+        x = pd.Series(closes[k]).dropna().reset_index(drop=True)
+        for n in config.EMA_SPANS:
+            assert got.loc[f"S{k:05d}", f"e_{n}"] == pytest.approx(x.ewm(alpha=2 / (n + 1), adjust=False).mean().iloc[-1], rel=1e-12)
+        for c, move in (("__g", x.diff()), ("__l", -x.diff())) if len(x) > 1 else ():
+            assert got.loc[f"S{k:05d}", c] == pytest.approx(move.dropna().clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean().iloc[-1], rel=1e-12)
+    assert got.loc["S00004"].isna().all()
