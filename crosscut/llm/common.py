@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,9 @@ MAX_LONG = (1 << 63) - 1
 
 #: Texts handed to a Python kernel at once, in characters; a longer text comes alone and whole.
 SLICE_CHARS = 2_000_000
+#: Bytes in one Arrow batch to a Python worker, which ends with the row that reaches them, whole. Executor and worker both hold a batch, the
+#: executor with room to grow, so that Spark's 64 MB for each of its tasks cost several hundred MB.
+BATCH_BYTES = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +189,43 @@ def numbered_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Arra
         start += len(part)
 
 
+_kernels: dict[tuple, Any] = {}
+
+
+def worker_kernel(key: tuple, make: Callable[[], Any]) -> Any:
+    """make()'s result, kept for all tasks that this worker runs, until another key is asked for: workers outlive a query,
+    and what one operator holds would stand beside the next one's."""
+    if key not in _kernels:
+        _kernels.clear()
+        give_back()
+        _kernels[key] = make()
+    return _kernels[key]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the allocators would keep it for this worker's next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit; it counts when a plan runs, and so stays. A lower one is left as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", limit: int = SLICE_CHARS, arrow: bool = False) -> DataFrame:
     """`keep` columns of df beside what the kernel returns for its texts, a list of strings or (arrow) an Arrow array. make() builds the kernel once in each worker
-    task; fields is its schema as DDL. Rows stream in Arrow batches; memory is bounded by a slice (or one text)."""
+    task; fields is its schema as DDL. Rows stream in Arrow batches; memory is bounded by a batch and a slice (or one text).
+    A text among `keep` is sent once for both. The session's limit of bytes in a batch is lowered to BATCH_BYTES."""
     spark = df.sparkSession
+    small_batches(spark)
     added = spark.createDataFrame([], fields).schema
-    base = df.select(*keep, F.col(text).alias("__text"))
+    base = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
+    kept = len(keep)
     schema = type(added)(base.select(*keep).schema.fields + added.fields)
     names = added.names
 
@@ -198,14 +235,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
 
     def run(batches):
         kernel = make()
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for start, texts in numbered_slices(column, limit) if arrow else text_slices(column, limit):
-                got = kernel(texts)
-                arrays = [batch.column(i).slice(start, len(texts)) for i in range(batch.num_columns - 1)]
-                arrays += [pa.array(got[n], type=out.field(n).type) for n in names]
-                yield pa.RecordBatch.from_arrays(
-                    [a.cast(out.field(i).type) if a.type != out.field(i).type else a for i, a in enumerate(arrays)], schema=out
-                )
+        try:
+            for batch in batches:
+                column = batch.column(at)
+                for start, texts in numbered_slices(column, limit) if arrow else text_slices(column, limit):
+                    got = kernel(texts)
+                    arrays = [batch.column(i).slice(start, len(texts)) for i in range(kept)]
+                    arrays += [pa.array(got[n], type=out.field(n).type) for n in names]
+                    yield pa.RecordBatch.from_arrays(
+                        [a.cast(out.field(i).type) if a.type != out.field(i).type else a for i, a in enumerate(arrays)], schema=out
+                    )
+        finally:
+            batch = column = texts = got = arrays = None
+            give_back()
 
     return base.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, documents, map_texts, mapped_file, put_file, settle, shared_path
+from .common import MAX_LONG, documents, map_texts, mapped_file, put_file, settle, shared_path, worker_kernel
 
 FIT_DOCS = 800
 MAX_LANGS = 1000
@@ -121,18 +121,13 @@ class Identifier:
         return self.langs[best], score, float((second - sizes[best]) / second)
 
 
-_identifiers: dict[str, Identifier] = {}
-
-
 def identify(docs: DataFrame, model: str, *, text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs with lang_pred, score, margin and rejected, by the dictionaries at model."""
     names = ("lang_pred", "score", "margin")
 
     def make():
-        if model not in _identifiers:
-            _identifiers.clear()
-            _identifiers[model] = Identifier(model)
-        return lambda texts: dict(zip(names, map(list, zip(*map(_identifiers[model], texts)))))
+        identifier = worker_kernel(("langid", model), lambda: Identifier(model))
+        return lambda texts: dict(zip(names, map(list, zip(*map(identifier, texts)))))
 
     out = map_texts(docs, make, "lang_pred string, score double, margin double", [c for c in docs.columns if c not in (*names, "rejected")], text)
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))

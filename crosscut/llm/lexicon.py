@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Bpe
-from .common import documents, map_texts, mapped_file, put_file, settle, shared_path
+from .common import documents, map_texts, mapped_file, put_file, settle, shared_path, worker_kernel
 from .token_files import tokenizer_path
 
 #: Words in the lexicon, and how often a word must occur to be one of them.
@@ -225,19 +225,13 @@ def gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return table[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def worker_codec(tokenizer: str, lexicon: str) -> Codec:
     """This worker's codec: read once, whatever number of tasks the worker runs."""
-    if (tokenizer, lexicon) not in _codecs:
-        _codecs.clear()
-        _codecs[tokenizer, lexicon] = Codec(tokenizer, lexicon)
-    return _codecs[tokenizer, lexicon]
+    return worker_kernel(("lexicon", tokenizer, lexicon), lambda: Codec(tokenizer, lexicon))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: bool = True, decoded: bool = True, lexicon: str | None = None) -> DataFrame:
-    """docs with ids (binary, unsigned 32-bit little-endian), decoded (string), n_tokens, ids_sha256 and decoded_sha256.
+def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: bool = True, decoded: bool = True, lexicon: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns keep) with ids (binary, unsigned 32-bit little-endian), decoded (string), n_tokens, ids_sha256 and decoded_sha256.
 
     ids and decoded are left out on request, as they are as large as the texts. The lexicon is built from docs unless
     the path of one is given."""
@@ -265,7 +259,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, text: str = "text", ids: b
 
         return kernel
 
-    return map_texts(docs, make, ", ".join(fields), [c for c in docs.columns if c not in names], text, SLICE_BYTES, arrow=True)
+    return map_texts(docs, make, ", ".join(fields), [c for c in (docs.columns if keep is None else keep) if c not in names], text, SLICE_BYTES, arrow=True)
 
 
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, Bpe
-from .common import documents, map_texts
+from .common import documents, map_texts, worker_kernel
 from .token_files import tokenizer_path
 
 LIMIT = 512
@@ -43,15 +43,9 @@ class Counter:
         return np.diff(np.concatenate([[0], np.cumsum(each[word])])[offsets])
 
 
-_counters: dict[str, Counter] = {}
-
-
 def worker_counter(path: str) -> Counter:
     """This worker's counter: the vocabulary is read once, whatever number of tasks the worker runs."""
-    if path not in _counters:
-        _counters.clear()
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return worker_kernel(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", limit: int = LIMIT) -> DataFrame:
